@@ -81,3 +81,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later reads survive a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed public tokenizers keep a vocabulary; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
