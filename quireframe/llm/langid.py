@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from .common import HELD_OUT, checkpoint, col, fold_of
 
 UNDETERMINED = "und"
-SAMPLE = 20_000
+SAMPLE = 12_000
 LENGTHS = (5, 4, 3, 2, 1)
 WORDS_KEPT = 20_000
 NGRAMS_KEPT = 8_000
 #: Cost, in log10, of what a language has never shown, below its rarest kept item.
 PENALTY = 1.5
-CACHE = 200_000
+CACHE = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -67,7 +67,7 @@ class Model:
         for n in LENGTHS:
             known = [x for g in _ngrams(word, n) if (x := self.places[n].get(g)) is not None]
             if known:
-                return self.scores[known].mean(axis=0)
+                return np.add.reduce(self.scores[known]) / len(known)
         return np.zeros(len(self.langs))
 
 
@@ -94,7 +94,7 @@ def count_items(docs: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(words_of(text))
-            if sum(map(len, held.values())) > CACHE:
+            if sum(map(len, held.values())) > 200_000:
                 yield from out(held)
                 held = {}
         yield from out(held)
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             else:
                 if len(cache) + len(words) > CACHE:
                     cache.clear()
-                for w in words.keys() - cache.keys():
+                for w in [w for w in words if w not in cache]:
                     rows[len(cache)] = model.word(w)
                     cache[w] = len(cache)
                 at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))

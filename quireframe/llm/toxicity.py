@@ -41,6 +41,9 @@ PREFIXES = (4, 5, 6)
 FEATURES = 4_096
 #: A feature has to occur in so many of the positives used.
 LEAST = 4
+#: It has to be so many times as frequent in P as in U, and to tell them apart by so many nats of log likelihood.
+RATIO = 6
+GAIN = 20
 CACHE = 300_000
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -85,7 +88,7 @@ class Model:
     bias: float
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, n: int, prior: float, *, epochs: int = 40, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, n: int, prior: float, *, epochs: int = 25, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier over presences, by Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     w = np.zeros(n + 1)
@@ -122,11 +125,11 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n: int, prior: float, *,
 
 
 def choose(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-    """The features whose document frequencies differ most, by signed root of the likelihood ratio, both directions."""
+    """The features whose document frequencies differ most, towards the positives, by likelihood ratio."""
     a, b = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
     pooled = (in_p + in_u + 1) / (n_p + n_u + 2)
     gain = n_p * (a * np.log(a / pooled) + (1 - a) * np.log((1 - a) / (1 - pooled))) + n_u * (b * np.log(b / pooled) + (1 - b) * np.log((1 - b) / (1 - pooled)))
-    ok = np.flatnonzero((in_p >= LEAST) & (a > 2 * b) & (gain > 8))
+    ok = np.flatnonzero((in_p >= LEAST) & (a > RATIO * b) & (gain > GAIN))
     return np.sort(ok[np.argsort(-gain[ok], kind="stable")][:FEATURES])
 
 
