@@ -27,12 +27,16 @@ first. Rows of equal id follow each other in the order of their texts' hashes.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,29 +48,40 @@ BLOCK = 1024
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 19
-CACHE = 250_000
+CACHE = 800_000
 END = 1
 _HEAD = struct.Struct("<4sIIIQ")
 _INDEX = np.dtype([("at", "<u8"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
 
 
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
     """Bits needed by each unsigned 32-bit value."""
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+    if x.size and x.max() >> 16:
+        return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+    return _BITS[x]
 
 
 def _pack(x: np.ndarray, width: int) -> np.ndarray:
     """Rows of unsigned 32-bit values to rows of bytes, ``width`` low bits each."""
-    bits = np.unpackbits(x.astype(">u4").view(np.uint8).reshape(*x.shape, 4), axis=-1)[..., 32 - width :]
+    size = 2 if width <= 16 else 4
+    if width == 8 * size:
+        return x.astype(f">u{size}").view(np.uint8)
+    bits = np.unpackbits(x.astype(f">u{size}").view(np.uint8).reshape(*x.shape, size), axis=-1)[..., 8 * size - width :]
     return np.packbits(bits.reshape(x.shape[0], -1), axis=1)
 
 
 def _unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
     """Inverse of _pack: rows of bytes to rows of ``n`` values."""
+    size = 2 if width <= 16 else 4
+    if width == 8 * size:
+        return np.ascontiguousarray(data).view(f">u{size}").astype(np.uint32)
     bits = np.unpackbits(data, axis=1)[:, : n * width].reshape(len(data), n, width)
-    full = np.zeros((len(data), n, 32), np.uint8)
-    full[..., 32 - width :] = bits
-    return np.packbits(full, axis=-1).view(">u4").reshape(len(data), n).astype(np.uint32)
+    full = np.zeros((len(data), n, 8 * size), np.uint8)
+    full[..., 8 * size - width :] = bits
+    return np.packbits(full, axis=-1).view(f">u{size}").reshape(len(data), n).astype(np.uint32)
 
 
 def write_segment(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
@@ -83,10 +98,11 @@ def write_segment(ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> b
     rows = rows - index["least"][:, None]
     bits = _bit_lengths(rows)
     sizes = np.minimum(block, n - np.arange(count) * block)
-    ordered = np.sort(bits, axis=1)
-    choices = ordered[:, [min(block - 1, block * p // 100) if p < 100 else block - 1 for p in PERCENTILES]]
-    outside = (bits[:, :, None] > choices[:, None, :]).sum(axis=1)
-    cost = choices * block + 48 * outside
+    # How many values of each block need at most so many bits; percentiles and exceptions follow from it.
+    upto = np.bincount((np.arange(count)[:, None] * 33 + bits).ravel(), minlength=33 * count).reshape(count, 33).cumsum(axis=1)
+    ranks = np.array([min(block, block * p // 100 + 1) for p in PERCENTILES])
+    choices = (upto[:, :, None] < ranks).sum(axis=1)
+    cost = choices * block + 48 * (block - np.take_along_axis(upto, choices, axis=1))
     width = choices[np.arange(count), cost.argmin(axis=1)] if count else np.zeros(0, np.int64)
     index["width"] = width
     packed: list[bytes] = [b""] * count
@@ -152,28 +168,80 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [_pieces(t) for t in texts]
         if len(self.seen) > CACHE:
             self.seen.clear()
         seen = self.seen
-        new = [p for p in dict.fromkeys(x for s in split for x in s) if p not in seen]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                seen[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(seen.__getitem__, s)) for s in split]
+        here = set().union(*split)
+        new = here.difference(seen)
+        words = [p for p in new if p.isalpha() and _latin(p)]
+        for at in range(0, len(words), 2048):
+            self._words(words[at : at + 2048])
+        rest = [p for p in new if p not in seen]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            seen[p] = array("I", e.ids).tobytes()
+        # A small dictionary of this batch's pieces stays in the processor's cache.
+        near = {p: seen[p] for p in here}
+        return [b"".join(map(near.__getitem__, s)) for s in split]
+
+    def _words(self, words: list[str]) -> None:
+        """Encode words of letters in one go: each is one word to the tokenizer and ends with an end-of-word token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
+            data, start = ids.tobytes(), 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                self.seen[word] = data[start:end]
+                start = end
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, special_as_text: bool) -> Encoder:
+    """This process's encoder: Python workers serve many tasks, and what they have seen stays useful."""
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
+#: A full stop or comma after a Latin letter or digit and before a blank is a word of its own to the tokenizer.
+_STOP = re.compile(r"(?<=[0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(?= |$)")
+_OTHER_STOP = re.compile(r"[^0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF][.,] ")
 
 
 def _pieces(text: str | None) -> list[str]:
-    """What stands between ASCII white space; other white space stays inside."""
+    """Parts of a text that the tokenizer encodes alike together or apart; repeated ones are remembered.
+
+    They stand between ASCII white space; other white space stays inside. Where all characters are Latin-1, lower
+    case is what the tokenizer's own normaliser makes of them.
+    """
     if not text:
         return []
     for c in "\t\n\x0b\x0c\r":
         if c in text:
             text = text.replace(c, " ")
-    return [p for p in text.split(" ") if p]
+    if "<|" not in text and _latin(text):
+        text = text.lower()
+    if _OTHER_STOP.search(text) or text[0] in ".,":
+        return [p for p in _STOP.sub(r" \1", text).split(" ") if p]
+    return list(filter(None, text.replace(". ", " . ").replace(", ", " , ").split(" ")))
 
 
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, block: int = BLOCK, segment: int = SEGMENT, special_as_text: bool = False) -> str:
@@ -185,12 +253,8 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        from pyspark import TaskContext
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part = Encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         held: list[bytes] = []
         ids, size, number = [], 0, 0
@@ -221,30 +285,35 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
     return path
 
 
-def read(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
-    """Per document, from the files: id, start (tokens before it), n_tokens, ids_crc32, ids."""
+def read(spark: SparkSession, path: str, *, id_col: str = "doc_id", ids: bool = True) -> DataFrame:
+    """Per document, from the files: id, start (tokens before it), n_tokens, ids_crc32, and the ids if asked for."""
     stored = spark.read.parquet(path)
     kind = stored.schema["docs"].dataType.elementType.simpleString()
-    # One row per segment, without payloads; segments are large, so this window is over few rows.
-    before = F.sum("n_tokens").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))
-    starts = stored.select("part", "number", "n_tokens").select(F.col("part").alias("s_part"), F.col("number").alias("s_number"), F.coalesce(before, F.lit(0)).alias("start"))
-    joined = stored.join(starts, (F.col("part") == F.col("s_part")) & (F.col("number") == F.col("s_number"))).select("start", "docs", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, docs, payload in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                ids, lengths = read_segment(payload.as_py())
+            for k in range(b.num_rows):
+                part, number, docs, payload = (b.column(i)[k] for i in range(4))
+                tokens, lengths = read_segment(payload.as_buffer().to_pybytes())
                 ends = np.cumsum(lengths.astype(np.int64))
-                begins = ends - lengths
-                data = ids.astype("<u4")
+                begins, data, n = ends - lengths, tokens.astype("<u4"), len(lengths)
                 crc = [zlib.crc32(data[a:z].data) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(data.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([docs.values, pa.array(start + begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64()), lists], names=["doc", "start", "n_tokens", "ids_crc32", "ids"])
-
-    out = joined.mapInArrow(run, f"doc {kind}, start long, n_tokens long, ids_crc32 long, ids array<int>")
-    return out.withColumnRenamed("doc", id_col)
+                out = [pa.array([part.as_py()] * n, pa.int64()), pa.array([number.as_py()] * n, pa.int64()), docs.values, pa.array(begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())]
+                names = ["s_part", "s_number", "doc", "begin", "n_tokens", "ids_crc32"]
+                if ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(data.view(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = f"s_part long, s_number long, doc {kind}, begin long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
+    rows = stored.select("part", "number", "docs", "payload").mapInArrow(run, schema)
+    # A row per segment, without payloads: segments are large, so this window is over few rows.
+    before = F.sum("n_tokens").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))
+    starts = stored.select("part", "number", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = rows.join(starts, (F.col("part") == F.col("s_part")) & (F.col("number") == F.col("s_number")))
+    return joined.select(F.col("doc").alias(id_col), (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
 def index(spark: SparkSession, path: str, *, id_col: str = "doc_id") -> DataFrame:
     """read() without the ids themselves."""
-    return read(spark, path, id_col=id_col).drop("ids")
+    return read(spark, path, id_col=id_col, ids=False)
