@@ -223,7 +223,9 @@ def encoder(path: str, special_as_text: bool) -> Encoder:
 
 #: A full stop or comma after a Latin letter or digit and before a blank is a word of its own to the tokenizer.
 _STOP = re.compile(r"(?<=[0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(?= |$)")
-_OTHER_STOP = re.compile(r"[^0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF][.,] ")
+#: Texts of these Latin-1 characters alone, with no stop after another or after a blank, need no pattern.
+_PLAIN = re.sub(rb"[^0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF., ]", b"", bytes(range(256)))
+_ODD_STOPS = (b"..", b".,", b",.", b",,", b" .", b" ,")
 
 
 def _pieces(text: str | None) -> list[str]:
@@ -237,10 +239,14 @@ def _pieces(text: str | None) -> list[str]:
     for c in "\t\n\x0b\x0c\r":
         if c in text:
             text = text.replace(c, " ")
-    if "<|" not in text and _latin(text):
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        raw = None
+    if raw is not None and "<|" not in text:
         text = text.lower()
-    if _OTHER_STOP.search(text) or text[0] in ".,":
-        return [p for p in _STOP.sub(r" \1", text).split(" ") if p]
+    if raw is None or raw[0] in b".," or raw.translate(None, _PLAIN) or any(x in raw for x in _ODD_STOPS):
+        return list(filter(None, _STOP.sub(r" \1", text).split(" ")))
     return list(filter(None, text.replace(". ", " . ").replace(", ", " , ").split(" ")))
 
 
