@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import checkpoint, col
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -103,6 +103,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .where("first != last")
         .select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
     )
+    # Repeated hashes alone are written out: the join then has its own exchanges, which split skewed hashes.
+    first = checkpoint(first)
     joined = rows.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     return joined.where(F.struct("doc", "place") != F.col("first")).select("doc", "place", F.col("first.doc").alias("first_doc"))
 
