@@ -144,7 +144,7 @@ def signatures() -> tuple[Signature, ...]:
         out.append(Signature(stem, GRANTS.format(name=grant), keys, 0.85))
         out.append(Signature(stem, grant, keys, 0.75))
     out += [Signature(label, phrase, (phrase,), 0.8, base=True) for phrase, label in BASE]
-    return tuple(out)
+    return tuple(dict.fromkeys(out))
 
 
 @cache
