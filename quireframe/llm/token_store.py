@@ -225,6 +225,9 @@ def encoder(path: str, special_as_text: bool) -> Encoder:
 _STOP = re.compile(r"(?<=[0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(?= |$)")
 #: Texts of these Latin-1 characters alone, with no stop after another or after a blank, need no pattern.
 _PLAIN = re.sub(rb"[^0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF., ]", b"", bytes(range(256)))
+#: Texts of these alone, without apostrophes, fall into the tokenizer's words by _WORDS: letters, digits, other marks.
+_KNOWN = b" " + bytes(range(33, 127)).replace(b"'", b"") + re.sub(rb"[\xD7\xF7]", b"", bytes(range(0xC0, 0x100)))
+_WORDS = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^ 0-9a-z\xDF-\xF6\xF8-\xFF]+")
 _ODD_STOPS = (b"..", b".,", b",.", b",,", b" .", b" ,")
 
 
@@ -246,6 +249,8 @@ def _pieces(text: str | None) -> list[str]:
     if raw is not None and "<|" not in text:
         text = text.lower()
     if raw is None or raw[0] in b".," or raw.translate(None, _PLAIN) or any(x in raw for x in _ODD_STOPS):
+        if raw is not None and "<|" not in text and not raw.translate(None, _KNOWN):
+            return _WORDS.findall(text)
         return list(filter(None, _STOP.sub(r" \1", text).split(" ")))
     return list(filter(None, text.replace(". ", " . ").replace(", ", " , ").split(" ")))
 
