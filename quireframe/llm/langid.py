@@ -39,7 +39,7 @@ WORDS_KEPT = 20_000
 NGRAMS_KEPT = 8_000
 #: Cost, in log10, of what a language has never shown, below its rarest kept item.
 PENALTY = 1.5
-CACHE = 500_000
+CACHE = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
