@@ -1,5 +1,5 @@
 """Operators on regions, text, formulas, tables, publications, telemetry and jobs."""
 
-from . import jobs, telemetry
+from . import jobs, regions, stats, telemetry
 
-REGISTRIES = (telemetry.R, jobs.R)
+REGISTRIES = (telemetry.R, jobs.R, regions.R, stats.R)
