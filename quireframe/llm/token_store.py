@@ -48,7 +48,7 @@ BLOCK = 1024
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 19
-CACHE = 300_000
+CACHE = 500_000
 END = 1
 _HEAD = struct.Struct("<4sIIIQ")
 _INDEX = np.dtype([("at", "<u8"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
@@ -167,7 +167,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str | bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -181,19 +181,21 @@ class Encoder:
         seen = self.seen
         here = set().union(*split)
         new = here.difference(seen)
-        words = [p for p in new if p.isalpha() and _latin(p)]
+        texts_of = {p: p if isinstance(p, str) else p.decode("latin-1") for p in new}
+        words = [p for p, t in texts_of.items() if t is not p and t.isalpha()]
         for at in range(0, len(words), 2048):
             self._words(words[at : at + 2048])
         rest = [p for p in new if p not in seen]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([texts_of[p] for p in rest], add_special_tokens=False), strict=True):
             seen[p] = array("I", e.ids).tobytes()
         # A small dictionary of this batch's pieces stays in the processor's cache.
         near = {p: seen[p] for p in here}
         return [b"".join(map(near.__getitem__, s)) for s in split]
 
-    def _words(self, words: list[str]) -> None:
-        """Encode words of letters in one go: each is one word to the tokenizer and ends with an end-of-word token."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    def _words(self, words: list[bytes]) -> None:
+        """Encode Latin-1 words of letters in one go: each is one word to the tokenizer and ends with an end-of-word token."""
+        joined = b" ".join(words).decode("latin-1")
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
         if len(ends) == len(words) and ends[-1] == 4 * len(ids):
             data, start = ids.tobytes(), 0
@@ -202,14 +204,6 @@ class Encoder:
                 start = end
 
 
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -221,38 +215,40 @@ def encoder(path: str, special_as_text: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-#: A full stop or comma after a Latin letter or digit and before a blank is a word of its own to the tokenizer.
-_STOP = re.compile(r"(?<=[0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(?= |$)")
-#: Texts of these Latin-1 characters alone, with no stop after another or after a blank, need no pattern.
-_PLAIN = re.sub(rb"[^0-9A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF., ]", b"", bytes(range(256)))
-#: Texts of these alone, without apostrophes, fall into the tokenizer's words by _WORDS: letters, digits, other marks.
-_KNOWN = b" " + bytes(range(33, 127)).replace(b"'", b"") + re.sub(rb"[\xD7\xF7]", b"", bytes(range(0xC0, 0x100)))
-_WORDS = re.compile(r"[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^ 0-9a-z\xDF-\xF6\xF8-\xFF]+")
+#: Latin-1 text in lower case, as the tokenizer's normaliser makes it, with blanks for white space.
+_LOWER = bytes(b" "[0] if b in b"\t\n\x0b\x0c\r" else ord(chr(b).lower()) if len(chr(b).lower()) == 1 else b for b in range(256))
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz" + bytes(b for b in range(0xDF, 0x100) if b != 0xF7)
+#: Texts of these alone need no pattern if no stop follows another or a blank.
+_PLAIN = _LETTERS + b"0123456789., "
 _ODD_STOPS = (b"..", b".,", b",.", b",,", b" .", b" ,")
+#: Texts of these alone, which lack apostrophes, fall into the tokenizer's words: letters, digits, runs of other marks.
+_KNOWN = _LETTERS + b" " + bytes(b for b in range(33, 127) if b != b"'"[0])
+_WORDS = re.compile(rb"[" + _LETTERS + rb"]+|[0-9]|[^ 0-9" + _LETTERS + rb"]+")
 
 
-def _pieces(text: str | None) -> list[str]:
+def _pieces(text: str | None) -> list[str] | list[bytes]:
     """Parts of a text that the tokenizer encodes alike together or apart; repeated ones are remembered.
 
-    They stand between ASCII white space; other white space stays inside. Where all characters are Latin-1, lower
-    case is what the tokenizer's own normaliser makes of them.
+    Latin-1 texts fall into bytes of that code, in lower case: into the tokenizer's own words where their
+    characters are known, a full stop or comma before a blank being one, else into what stands between white
+    space. Other texts fall into strings between ASCII white space.
     """
     if not text:
         return []
-    for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
     try:
         raw = text.encode("latin-1")
     except UnicodeEncodeError:
         raw = None
-    if raw is not None and "<|" not in text:
-        text = text.lower()
-    if raw is None or raw[0] in b".," or raw.translate(None, _PLAIN) or any(x in raw for x in _ODD_STOPS):
-        if raw is not None and "<|" not in text and not raw.translate(None, _KNOWN):
-            return _WORDS.findall(text)
-        return list(filter(None, _STOP.sub(r" \1", text).split(" ")))
-    return list(filter(None, text.replace(". ", " . ").replace(", ", " , ").split(" ")))
+    if raw is None or b"<|" in raw:
+        for c in "\t\n\x0b\x0c\r":
+            text = text.replace(c, " ")
+        return [p for p in text.split(" ") if p]
+    raw = raw.translate(_LOWER)
+    if not raw.translate(None, _PLAIN) and raw[0] not in b".," and not any(x in raw for x in _ODD_STOPS):
+        return raw.replace(b". ", b" . ").replace(b", ", b" , ").split()
+    if not raw.translate(None, _KNOWN):
+        return _WORDS.findall(raw)
+    return raw.split()
 
 
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, block: int = BLOCK, segment: int = SEGMENT, special_as_text: bool = False) -> str:
