@@ -1,5 +1,5 @@
 """Operators on regions, text, formulas, tables, publications, telemetry and jobs."""
 
-from . import jobs, regions, stats, telemetry
+from . import jobs, regions, stats, telemetry, text
 
-REGISTRIES = (telemetry.R, jobs.R, regions.R, stats.R)
+REGISTRIES = (telemetry.R, jobs.R, regions.R, stats.R, text.R)
