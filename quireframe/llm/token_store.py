@@ -48,7 +48,7 @@ BLOCK = 1024
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 #: A segment is closed once it has so many tokens.
 SEGMENT = 1 << 18
-CACHE = 250_000
+CACHE = 400_000
 END = 1
 _HEAD = struct.Struct("<4sIIIQ")
 _INDEX = np.dtype([("at", "<u8"), ("least", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
