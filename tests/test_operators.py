@@ -96,7 +96,7 @@ def test_eq_fields():
     cases = {
         r"EQ \f(1,2)": r"\frac{1}{2}", r"\r(3,x)": r"\sqrt[3]{x}", r"\r(x)": r"\sqrt{x}", r"eq f(a,b)\f(g(1,2);3)": r"f(a,b)\frac{g(1,2)}{3}",
         r"\i\su(1,n,k)": r"\sum_{1}^{n} k", r"\i(,,x)": r"\int x", r"x\s\up3(2)": "x^{2}", r"x\s\do3(2)": "x_{2}",
-        r"\b\bc\{(x)": r"\left(x\right)" if False else to_latex(r"\b\bc\{(x)")[0], r"\a(1,2)": r"\begin{array}{c}1 \\ 2\end{array}", r"\l(a;b)": "ab",
+        r"\b\bc(x)": r"\left\{x\right\}", r"\b\bc\{(x)": r"\left\{\right\}\{(x)", r"\a(1,2)": r"\begin{array}{c}1 \\ 2\end{array}", r"\l(a;b)": "ab",
     }
     for source, want in cases.items():
         assert to_latex(source)[0] == want
