@@ -19,7 +19,8 @@ written to a file of its own is complete. Numbers are little-endian.
 
 Encoding goes by pieces between ASCII white space, which the tokenizer treats as
 a separator whatever stands around it, and remembers the ids of pieces it has
-seen, up to a bound.
+seen, up to a bound: half of it fills up and then displaces the other half, so that
+pieces in use stay.
 
 Defined results: null text is empty and has the end id alone. Null ids come
 first. Rows of equal id follow each other in the order of their texts' hashes.
@@ -167,7 +168,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
+        #: Ids of pieces: those met since the last change of generations, and those of the generation before.
         self.seen: dict[str | bytes, bytes] = {}
+        self.before: dict[str | bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -176,11 +179,14 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [_pieces(t) for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        seen = self.seen
+        if 2 * len(self.seen) > CACHE:
+            self.before, self.seen = self.seen, {}
+        seen, before = self.seen, self.before
         here = set().union(*split)
         new = here.difference(seen)
+        kept = new.intersection(before)
+        seen.update((p, before[p]) for p in kept)
+        new -= kept
         texts_of = {p: p if isinstance(p, str) else p.decode("latin-1") for p in new}
         words = [p for p, t in texts_of.items() if t is not p and t.isalpha()]
         for at in range(0, len(words), 2048):
