@@ -1,5 +1,5 @@
 """Operators on regions, text, formulas, tables, publications, telemetry and jobs."""
 
-from . import formulas, jobs, packages, policy, publish, regions, stats, telemetry, text
+from . import formulas, jobs, packages, policy, publish, regions, stats, telemetry, text, textbook
 
-REGISTRIES = (telemetry.R, jobs.R, regions.R, stats.R, text.R, publish.R, formulas.R, policy.R, packages.R)
+REGISTRIES = (telemetry.R, jobs.R, regions.R, stats.R, text.R, publish.R, formulas.R, policy.R, packages.R, textbook.R)

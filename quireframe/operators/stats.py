@@ -86,3 +86,36 @@ def directory_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = P.table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n"))
     return g.agg(F.sum("n").alias("occurrences"), F.count("*").alias("payloads"), (F.sum("n") - F.count("*")).alias("duplicates"), F.max("n").alias("most"))
+
+
+def representative(rows: DataFrame, *, key: str, dims: list[str], count: int) -> DataFrame:
+    """(key, position): ``count`` rows that cover as many dimension values as can be, greedily; ties go by the id's digest.
+
+    Only the ``count`` least digests of each combination of values can be chosen, so the greedy loop sees those and
+    not the rows; combinations are as many as the domains allow. ``dims`` may hold arrays.
+    """
+    spark = rows.sparkSession
+    values = F.concat(*[F.transform(F.col(d), lambda x, d=d: F.concat(F.lit(f"{d}="), x)) if rows.schema[d].dataType.typeName() == "array" else F.array(F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("UNKNOWN")))) for d in dims])
+    r = rows.select(F.col(key).alias("id"), F.sha2(F.col(key).cast("string").cast("binary"), 256).alias("digest"), F.array_sort(F.array_distinct(values)).alias("dims"))
+    first = r.withColumn("n", F.row_number().over(W.partitionBy("dims").orderBy("digest"))).where(F.col("n") <= count)
+    groups: dict[tuple, list] = {}
+    for x in first.orderBy("digest").toLocalIterator():
+        groups.setdefault(tuple(x["dims"]), []).append((x["digest"], x["id"]))
+    heads, covered, chosen = {d: iter(v) for d, v in groups.items()}, set(), []
+    front = {d: next(it) for d, it in heads.items()}
+    while front and len(chosen) < count:
+        best = min(front, key=lambda d: (-len(set(d) - covered), front[d]))
+        chosen.append((front[best][1], len(chosen)))
+        covered.update(best)
+        front[best] = next(heads[best], None)
+        if front[best] is None:
+            del front[best]
+    return spark.createDataFrame(chosen, f"{key} {rows.schema[key].dataType.simpleString()}, position int")
+
+
+@R.add()
+def representative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred documents that cover sources, languages and lengths."""
+    length = F.when(F.col("n_chars") <= 500, "SHORT").when(F.col("n_chars") <= 2000, "MEDIUM").otherwise("LONG")
+    d = P.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", length.alias("length"))
+    return representative(d, key="doc_id", dims=["source", "lang", "length"], count=100)
