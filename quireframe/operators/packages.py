@@ -44,7 +44,7 @@ def metafiles(key: pd.Series, lines: pd.Series) -> pd.Series:
     return pd.Series([one(int(k), int(n)) for k, n in zip(key, lines, strict=True)])
 
 
-@R.add("""SELECT p_partkey, d + t + u + CASE WHEN ended THEN 1 ELSE 0 END AS n_records, d AS drawing, t AS text, u AS unknown, ended AS valid, CASE WHEN d + t > 0 THEN 'visible' WHEN ended AND u = 0 THEN 'empty' ELSE 'uncertain' END AS visual_state
+@R.add("""SELECT p_partkey, d + t + u + CASE WHEN ended THEN 1 ELSE 0 END AS n_records, d AS drawing, t AS text, CAST(u AS BIGINT) AS unknown, ended AS valid, CASE WHEN d + t > 0 THEN 'visible' WHEN ended AND u = 0 THEN 'empty' ELSE 'uncertain' END AS visual_state
     FROM (SELECT p_partkey, CAST(p_size % 4 AS BIGINT) AS d, p_partkey % 3 AS t, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS u, p_partkey % 7 <> 0 AS ended FROM part)""")
 def metafile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.table(spark, sf_dir, "part").select("p_partkey", binary.metafile_records(metafiles("p_partkey", "p_size")).alias("m"))
@@ -116,7 +116,7 @@ def table_grid(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([grid(h) for h in html], columns=["cells", "n_rows", "n_cols", "error"]).astype({"n_rows": "Int32", "n_cols": "Int32"})
 
 
-@R.add("""SELECT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 2 * count(*) + 1 END AS n_cells, CASE WHEN l_orderkey % 5 <> 0 THEN sum(l_partkey) END AS total,
+@R.add("""SELECT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 2 * count(*) + 1 END AS n_cells, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(sum(l_partkey) AS BIGINT) END AS total,
     CASE WHEN l_orderkey % 5 = 0 THEN 'TABLE_STRUCTURE_INVALID' END AS error FROM lineitem GROUP BY l_orderkey""")
 def html_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table per order; every fifth lacks a cell."""
