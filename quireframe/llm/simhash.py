@@ -1,7 +1,7 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 A fingerprint bit is 1 if it is set in over half the hashes of a text's word
-shingles. Two fingerprints link if they differ in at most ``distance`` bits, and
+shingles, A-Z lower-cased and other letters as they are. Two fingerprints link if they differ in at most ``distance`` bits, and
 documents of linked fingerprints share a component.
 
 Equal fingerprints meet first, so that groups of exact copies are one entry from
@@ -48,7 +48,7 @@ _ONE = np.uint64(1)
 
 def fingerprint(text: str | None, shingle: int) -> int:
     """Unsigned 64-bit SimHash of one text."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
     joined = b" ".join(words)

@@ -44,6 +44,20 @@ def test_fingerprint():
     assert simhash.fingerprint(None, 4) == simhash.fingerprint(" \n", 4) == 0
 
 
+def test_fingerprint_lowers_ascii_letters_only(spark):
+    rng = random.Random(12)
+    text = prose(rng, 60)
+    mixed = "".join(rng.choice([c.upper(), c]) for c in text)
+    to_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for t in (mixed, text.upper(), text.title(), "One", "ÀB Éa İSTANBUL ẞtraße ΣΊΣ " + mixed):
+        assert simhash.fingerprint(t, 4) == slow_fingerprint(t.translate(to_lower))
+    assert simhash.fingerprint("ÀÉ ΣΊΣ", 4) != simhash.fingerprint("àé σίσ", 4)
+    docs = spark.createDataFrame([(3, text), (5, text.upper()), (8, mixed), (9, prose(rng, 60))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == {3: 3, 5: 3, 8: 3, 9: 9}
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == [3, 9]
+
+
 @pytest.mark.parametrize("spread", [0, 2, 64])
 def test_index_links_what_brute_force_links(spread):
     rng = np.random.default_rng(spread)
