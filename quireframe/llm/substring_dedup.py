@@ -1,7 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at ``. ! ?`` or a line end; one of more than ``LONGEST`` words is
-cut every ``CHUNK`` words. From every sentence a span runs over the following
+cut where the hash of two neighbouring words is the least of ``WINDOW`` places in
+a row, so that equal words are cut alike wherever they stand, and no piece has more
+than ``WINDOW`` words. A passage of 50 words loses at most 15 at either end to its
+surroundings, by an uncut sentence or by places that see beyond the passage, and
+what is left has at least two pieces and 20 words. From every sentence a span runs over the following
 ones until it has ``min_sentences`` sentences and ``min_words`` words. Spans are
 hashed over their lower-case words and joined over the whole corpus; all but the
 first occurrence, by id and place, are repeats, and the sentences that a repeat
@@ -32,13 +36,21 @@ from .common import checkpoint, col
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
-LONGEST = 40
-CHUNK = 30
+LONGEST = 15
+WINDOW = 8
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-_CHUNK = re.compile(r"\s*(?:\S+\s*){1,%d}" % CHUNK)
+_WORD = re.compile(r"\S+")
 _STARTS, _LENGTHS, _TEXTS = 28, 12, 24
 
 
+def cuts(words: list[str]) -> list[int]:
+    """The words, by place, that a new piece of a long sentence begins with."""
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    h = np.fromiter((xxhash.xxh64_intdigest(a + b" " + b) for a, b in zip(coded, coded[1:], strict=False)), np.uint64, len(words) - 1)
+    rows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1]
+    return np.unique(np.arange(len(rows)) + WINDOW - rows.argmin(1)).tolist()
+
+
 def sentences(text: str) -> list[tuple[str, list[str]]]:
     """(piece, its lower-case words); the pieces join to the text. A piece without words belongs to the one before."""
     out: list[tuple[str, list[str]]] = []
@@ -46,7 +58,9 @@ def sentences(text: str) -> list[tuple[str, list[str]]]:
         piece = m[0]
         words = piece.lower().split()
         if len(words) > LONGEST:
-            out.extend((c[0], c[0].lower().split()) for c in _CHUNK.finditer(piece))
+            at = [w.start() for w in _WORD.finditer(piece)]
+            edges = [0, *cuts(words), len(words)]
+            out.extend((piece[at[a] if a else 0 : at[b] if b < len(at) else None], words[a:b]) for a, b in zip(edges, edges[1:], strict=False))
         elif out and not any(map(str.isalnum, piece)):
             out[-1] = (out[-1][0] + piece, out[-1][1] + words)
         else:

@@ -38,6 +38,36 @@ def test_removes_repeated_passages_and_leaves_the_rest(spark):
         assert set(got[i]["first_docs"]) == {3}
 
 
+def bare(rng, n):
+    return [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(n)]
+
+
+def test_passages_are_found_at_any_offset(spark):
+    rng = random.Random(21)
+    hashes = lambda words: {h for _, _, h in substring_dedup.spans(" ".join(words), 2, 20)}
+    for n in (51, 55, 60, 67):
+        for stops in ((), (25,), (20, 34), (16, 30, 46), (14, 36), (15, 35)):
+            passage = [w + "." * (i in stops) for i, w in enumerate(bare(rng, n))]
+            for before in range(32):
+                there = hashes(bare(rng, 7) + passage + bare(rng, 40))
+                assert there & hashes(bare(rng, before) + passage + bare(rng, rng.randrange(40))), (n, stops, before)
+    passage = bare(rng, 60)
+    rows = [(i, " ".join(bare(rng, 11 * i + 3) + passage + bare(rng, 50))) for i in range(6)]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["n_removed"] == 0
+    for i in range(1, 6):
+        gone = set(rows[i][1].split()) - set(got[i]["text"].split())
+        assert 0 in got[i]["first_docs"] and len(gone & set(passage)) >= 30 and gone <= set(passage)
+
+
+def test_pieces_of_long_sentences():
+    rng = random.Random(22)
+    for words in (bare(rng, 16), bare(rng, 400), ["w"] * 100, ["İ", "\ud800", "ẞ"] * 9):
+        text = "  " + " \t".join(words) + "\x1c "
+        parts = substring_dedup.sentences(text)
+        assert "".join(p for p, _ in parts) == text and all(p.lower().split() == w and 0 < len(w) <= 8 for p, w in parts)
+
+
 def brute_removed(rows):
     """Sentences covered by any but the first occurrence of a span, over distinct (id, text)."""
     first, covered = {}, {}
