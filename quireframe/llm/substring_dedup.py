@@ -6,7 +6,9 @@ a row, so that equal words are cut alike wherever they stand, and no piece has m
 than ``WINDOW`` words. A passage of 50 words loses at most 15 at either end to its
 surroundings, by an uncut sentence or by places that see beyond the passage, and
 what is left has at least two pieces and 20 words. From every sentence a span runs over the following
-ones until it has ``min_sentences`` sentences and ``min_words`` words. Spans are
+ones until it has ``min_sentences`` sentences and ``min_words`` words, and to every
+sentence one runs back over those before it in the same way: together they cover
+what all longer runs that repeat cover. Spans are
 hashed over their lower-case words and joined over the whole corpus; all but the
 first occurrence, by id and place, are repeats, and the sentences that a repeat
 covers are removed. What stays is the text as it was, piece by piece.
@@ -74,17 +76,27 @@ def text_key(text: str | None) -> int:
 
 
 def spans(text: str, min_sentences: int, min_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, 16 bytes of hash) of every span."""
+    """(first sentence, number of sentences, 16 bytes of hash) of every span: the shortest from each sentence and to each."""
     parts = sentences(text)
     joined = [" ".join(w).encode("utf-8", "surrogatepass") for _, w in parts]
     upto = np.concatenate([[0], np.cumsum([len(w) for _, w in parts])]).tolist()
+    ends = []
     end = 0
     for start in range(len(parts)):
         end = max(end, start + min_sentences)
         while end <= len(parts) and upto[end] - upto[start] < min_words:
             end += 1
         if end > len(parts):
-            return
+            break
+        ends.append(end)
+    found = list(enumerate(ends))
+    start = 0
+    for end in range(ends[0] if ends else len(parts) + 1, len(parts) + 1):
+        while start + 1 <= end - min_sentences and upto[end] - upto[start + 1] >= min_words:
+            start += 1
+        if ends[start] != end:
+            found.append((start, end))
+    for start, end in found:
         yield start, end - start, xxhash.xxh3_128_digest(b"\n".join(joined[start:end]))
 
 
@@ -113,8 +125,8 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = span_rows(docs, id_col=id_col, text_col=text_col, min_sentences=min_sentences, min_words=min_words)
     first = (
         rows.groupBy("h1", "h2")
-        .agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
-        .where("first != last")
+        .agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
+        .where("n > 1")  # equal rows count twice, but have one place
         .select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
     )
     # Repeated hashes alone are written out: the join then has its own exchanges, which split skewed hashes.

@@ -88,6 +88,34 @@ def test_equals_brute_force(spark):
     assert sorted(r["n_removed"] for r in got) == sorted(len(want.get(r, ())) for r in rows)
 
 
+def all_runs_removed(rows):
+    """Sentences covered by any but the first occurrence of any run of 2+ sentences and 20+ words."""
+    first, covered = {}, {}
+    for d, k, t in sorted({(d, substring_dedup.text_key(t), t) for d, t in rows}):
+        parts = [tuple(w) for _, w in substring_dedup.sentences(t)]
+        for start in range(len(parts)):
+            for end in range(start + 2, len(parts) + 1):
+                run = tuple(parts[start:end])
+                if sum(map(len, run)) >= 20 and first.setdefault(run, (d, k, start)) != (d, k, start):
+                    covered.setdefault((d, t), set()).update(range(start, end))
+    return covered
+
+
+def test_equals_brute_force_over_all_runs(spark):
+    rng = random.Random(23)
+    line = lambda n: " ".join(bare(rng, n)) + "."
+    closing = [line(n) for n in (12, 12, 5)]
+    rows = [(i, " ".join([line(12), *closing, line(12)])) for i in range(3)]
+    stock = [line(rng.randrange(1, 15)) for _ in range(30)]
+    for i in range(3, 60):
+        at = rng.randrange(25)
+        rows.append((i, " ".join([line(rng.randrange(1, 15)), *stock[at : at + rng.randrange(2, 6)], line(rng.randrange(1, 15))])))
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = all_runs_removed(rows)
+    assert got[1] == got[2] == 3
+    assert got == {d: len(want.get((d, t), ())) for d, t in rows}
+
+
 def test_substring_odd_rows(odd_docs, no_docs):
     got = substring_dedup.remove_repeats(odd_docs)
     assert got.count() == odd_docs.count()
