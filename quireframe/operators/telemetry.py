@@ -57,8 +57,7 @@ _CLOSED = f"""(SELECT c.*, coalesce(c."end", r.ended, n.now) AS until FROM ({P.C
 
 def _closed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = P.samples(spark, sf_dir).groupBy("run").agg(F.max("t").alias("now"))
-    finished = P.calls(spark, sf_dir).where(F.col("end").isNotNull() | (F.col("call") % 49 == 0))
-    return closed(finished, P.runs(spark, sf_dir).join(now, "run"))
+    return closed(P.calls(spark, sf_dir), P.runs(spark, sf_dir).join(now, "run"))
 
 
 @R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED} WHERE "end" IS NOT NULL OR call % 49 = 0)

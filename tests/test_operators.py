@@ -60,6 +60,25 @@ def test_interval_join_equals_nested_loops(spark):
     assert sorted((r["p"], r["s"]) for r in got.collect()) == sorted((x[0], y[0]) for x in points for y in spans if x[1] == y[1] and y[2] <= x[2] <= y[3])
 
 
+def test_every_call_has_its_sample_window(spark, db):
+    events = db.execute("SELECT event_id, user_id, ts, event_type, value FROM events").fetchall()
+    samples = [e for e in events if e[3] in ("view", "click")]
+    last = {r: max(e[2] for e in events if e[1] % 8 == r) for r in range(8)}
+    now = {r: max(e[2] for e in samples if e[1] % 8 == r) for r in range(8)}
+    got = {r["call"]: r for r in ALL["call_sample_windows"][0](spark, SF).collect()}
+    calls = [e for e in events if e[3] in ("purchase", "error")]
+    assert set(got) == {e[0] for e in calls} and sum(e[0] % 7 == 0 and e[0] % 49 != 0 for e in calls) > 30
+    for call, user, start, _, _ in calls:
+        run = user % 8
+        until = start + datetime.timedelta(hours=1) if call % 7 else last[run] if run % 3 else now[run]
+        hit = [s for s in samples if s[1] % 8 == run and start <= s[2] <= until]
+        gpu = [s[0] % 101 for s in hit if s[0] % 5]
+        r = got[call]
+        assert (r["samples"], r["ram_peak"], r["gpu_peak"]) == (len(hit), max((s[0] * 1000 + s[1] for s in hit), default=None), max(gpu, default=None))
+        for mean, values in ((r["cpu_avg"], [s[4] for s in hit]), (r["gpu_avg"], gpu)):
+            assert mean == (pytest.approx(sum(values) / len(values), abs=1e-4) if values else None)
+
+
 def test_expensive_calls_are_paid_once_per_key(spark):
     seen = spark.sparkContext.accumulator(0)
 
