@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from quireframe.llm import substring_dedup, token_store
 from quireframe.llm.common import tokenizer_path
@@ -12,10 +15,63 @@ from quireframe.llm.common import tokenizer_path
 from .conftest import prose
 
 
-def test_sentences_join_to_the_text():
+MASK = (1 << 64) - 1
+RANGES = "".join(f"{chr(a)}-{chr(b)}" for a, b in substring_dedup.DENSE)
+SLOW_WORD = re.compile(rf"[{RANGES}]|[^ \t\n\x0b\x0c\r{RANGES}]+")
+
+
+def slow_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def slow_mark(word):
+    h = len(word)
+    for i in range(4):
+        for b in (word[min(i, len(word) - 1)], word[max(len(word) - 1 - i, 0)]):
+            h = (h * 0x9E3779B97F4A7C15 + b) & MASK
+    return h
+
+
+def slow_sentences(text):
+    """[(piece, lower-case words in bytes)], word by word; the pieces join to the text."""
+    found = list(SLOW_WORD.finditer(text))
+    if not found:
+        return []
+    words = [bytes(b + 32 if 65 <= b <= 90 else b for b in m[0].encode()) for m in found]
+    new = [0]
+    for i in range(1, len(found)):
+        before = found[i - 1][0]
+        stop = before[-1] in ".!?" or (len(before) > 1 and before[-1] in "\"')]}" and before[-2] in ".!?") or ord(before[-1]) in substring_dedup.DENSE_STOPS
+        if stop or "\n" in text[found[i - 1].end() : found[i].start()]:
+            new.append(i)
+    cuts = set(new)
+    for a, z in zip(new, [*new[1:], len(found)], strict=True):
+        if z - a > 15:
+            pair = [slow_mix((slow_mark(x) * 0x9E3779B97F4A7C15 + slow_mark(y)) & MASK) for x, y in zip(words[a:z], words[a + 1 : z], strict=False)]
+            for i in range(len(pair) - 7):
+                least = min(pair[i : i + 8])
+                cuts.add(a + 1 + max(k for k in range(i, i + 8) if pair[k] == least))
+    at = sorted(cuts)
+    edges = [0, *[found[i].start() for i in at[1:]], len(text)]
+    return [(text[p:q], words[a:z]) for p, q, a, z in zip(edges, edges[1:], at, [*at[1:], len(found)], strict=False)]
+
+
+def test_sentences_are_those_of_the_slow_way():
     rng = random.Random(4)
-    for text in (prose(rng, 200), "no end", "...!!\n\n", " a. b?  c!\nd " + "w " * 100, "x" * 50):
-        assert "".join(p for p, _ in substring_dedup.sentences(text)) == text
+    texts = [prose(rng, 200), "no end", "...!!\n\n", " a. b?  c!\nd " + "w " * 100, "x" * 50, "", " \n\t ", 'He said "no." Then (ha!) left.\n\nEnd']
+    texts += ["这是第一句。第二句！" * 9 + "混合 mixed text，ok？", "ไทยไม่มีช่องว่าง " * 3, "İ \x1c ẞ\u3000x " * 9, "\U00020000\U0001f600. b"]
+    texts += ["".join(rng.choice("ab .!?\n\"'é中。") for _ in range(rng.randrange(90))) for _ in range(300)]
+    texts += ["  " + " \t".join(words) + "\x1c " for words in (bare(rng, 16), bare(rng, 400), ["w"] * 100, ["İ", "x", "ẞ"] * 9)]
+    at = substring_dedup.layout(pa.array(["skipped", *texts])[1:])
+    raw = bytes(at.data)
+    words = [raw[a:b] for a, b in zip(at.start.tolist(), at.end.tolist(), strict=True)]
+    for i, text in enumerate(texts):
+        slow = slow_sentences(text)
+        assert "".join(p for p, _ in slow) == text or not slow
+        got = [[bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words[at.first[s] : at.first[s + 1]]] for s in range(at.begins[i], at.begins[i + 1])]
+        assert got == [w for _, w in slow], text
 
 
 def test_removes_repeated_passages_and_leaves_the_rest(spark):
@@ -44,7 +100,11 @@ def bare(rng, n):
 
 def test_passages_are_found_at_any_offset(spark):
     rng = random.Random(21)
-    hashes = lambda words: {h for _, _, h in substring_dedup.spans(" ".join(words), 2, 20)}
+
+    def hashes(words):
+        _, _, _, h1, h2, _, longer = substring_dedup.spans(pa.array([" ".join(words)]), 2, 20)
+        return {*zip(h1.tolist(), h2.tolist(), strict=True), *longer.tolist()}
+
     for n in (51, 55, 60, 67):
         for stops in ((), (25,), (20, 34), (16, 30, 46), (14, 36), (15, 35)):
             passage = [w + "." * (i in stops) for i, w in enumerate(bare(rng, n))]
@@ -62,37 +122,20 @@ def test_passages_are_found_at_any_offset(spark):
 
 def test_pieces_of_long_sentences():
     rng = random.Random(22)
-    for words in (bare(rng, 16), bare(rng, 400), ["w"] * 100, ["İ", "\ud800", "ẞ"] * 9):
-        text = "  " + " \t".join(words) + "\x1c "
-        parts = substring_dedup.sentences(text)
-        assert "".join(p for p, _ in parts) == text and all(p.lower().split() == w and 0 < len(w) <= 8 for p, w in parts)
-
-
-def brute_removed(rows):
-    """Sentences covered by any but the first occurrence of a span, over distinct (id, text)."""
-    first, covered = {}, {}
-    keyed = sorted({(d, substring_dedup.text_key(t), t) for d, t in rows if t})
-    for d, k, t in keyed:
-        for start, n, h in substring_dedup.spans(t, 2, 20):
-            if first.setdefault(h, (d, k, start)) != (d, k, start):
-                covered.setdefault((d, t), set()).update(range(start, start + n))
-    return covered
+    for words in (bare(rng, 16), bare(rng, 400), ["w"] * 100):
+        sizes = np.diff(substring_dedup.layout(pa.array([" ".join(words)])).first)
+        assert sizes.sum() == len(words) and 0 < sizes.min() and sizes.max() <= 8
 
 
-def test_equals_brute_force(spark):
-    rng = random.Random(11)
-    stock = [prose(rng, rng.randrange(5, 40)).replace("\n", " ") + "." for _ in range(12)]
-    rows = [(i % 60, " ".join(rng.choice(stock) if rng.random() < 0.5 else prose(rng, 15) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
-    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute_removed(rows)
-    assert sorted(r["n_removed"] for r in got) == sorted(len(want.get(r, ())) for r in rows)
+def text_key(text):
+    return xxhash.xxh64_intdigest(text.encode(), 42) - (xxhash.xxh64_intdigest(text.encode(), 42) >> 63 << 64)
 
 
 def all_runs_removed(rows):
-    """Sentences covered by any but the first occurrence of any run of 2+ sentences and 20+ words."""
+    """Sentences covered by any but the first occurrence of any run of 2+ sentences and 20+ words, over distinct (id, text)."""
     first, covered = {}, {}
-    for d, k, t in sorted({(d, substring_dedup.text_key(t), t) for d, t in rows}):
-        parts = [tuple(w) for _, w in substring_dedup.sentences(t)]
+    for d, k, t in sorted({(d, text_key(t), t) for d, t in rows if t}):
+        parts = [tuple(w) for _, w in slow_sentences(t)]
         for start in range(len(parts)):
             for end in range(start + 2, len(parts) + 1):
                 run = tuple(parts[start:end])
@@ -116,6 +159,29 @@ def test_equals_brute_force_over_all_runs(spark):
     assert got == {d: len(want.get((d, t), ())) for d, t in rows}
 
 
+def test_whole_result_equals_brute_force(spark):
+    rng = random.Random(11)
+    stock = [prose(rng, rng.randrange(5, 40)).replace("\n", " ") + "." for _ in range(12)] + ["这是一个没有空格的句子" + "重复的段落内容很长很长。" * 3]
+    rows = [(i % 60 if i % 9 else None, " ".join(rng.choice(stock) if rng.random() < 0.5 else prose(rng, 15) for _ in range(rng.randrange(1, 6)))) for i in range(90)]
+    rows += [rows[4], (7, ""), (8, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    want = all_runs_removed([(-1 if d is None else d, t) for d, t in rows])
+    slow = []
+    for d, t in rows:
+        gone = want.get((-1 if d is None else d, t), ())
+        parts = slow_sentences(t or "")
+        left = "".join(p for i, (p, _) in enumerate(parts) if i not in gone) if gone else t
+        slow.append((d, left, len(gone), sum(len(parts[i][1]) for i in gone)))
+    order = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["text"], r["n_removed"], r["removed_words"]) for r in got), key=order) == sorted(slow, key=order)
+
+
+def test_text_without_blanks_is_deduplicated(spark):
+    text = "".join(f"第{chr(0x4E00 + i)}句话没有任何空格{chr(0x5E00 + i * 3)}。" for i in range(60))
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, "开头不同。" + text)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (got[0]["text"], got[1]["text"], got[1]["first_docs"]) == (text, "开头不同。", [1])
+
+
 def test_substring_odd_rows(odd_docs, no_docs):
     got = substring_dedup.remove_repeats(odd_docs)
     assert got.count() == odd_docs.count()
