@@ -17,17 +17,21 @@ Parquet table in the cluster's shared folder, so that Spark's commit protocol
 covers lost executors and any store that Spark reaches can hold them; a payload
 written to a file of its own is complete. Numbers are little-endian.
 
-Encoding goes by pieces between ASCII white space, which the tokenizer treats as
-a separator whatever stands around it, and remembers the ids of pieces it has
-seen, up to a bound: half of it fills up and then displaces the other half, so that
-pieces in use stay.
-
-Defined results: null text is empty and has the end id alone. Null ids come
-first. Rows of equal id follow each other in the order of their texts' hashes.
+A tokenizer whose file states that it lower-cases, splits at white space and ends
+words with tokens of their own is given each word once: a batch's words are
+gathered in a dictionary, and their ids remembered, up to a bound: half of it fills
+up and then displaces the other half, so that words in use stay. Any other
+tokenizer is given whole texts.
+
+Defined results: null text is empty and has the end id alone. Null ids come first.
+Rows of equal id follow each other in the order of their texts' hashes; rows equal in
+both are written once each. Texts of any length are encoded whole. Other columns of
+``docs`` are never read, whatever their names. No documents give no segment.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -160,56 +165,130 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return read_blocks(data), _read_head(data)[2]
 
 
+#: The normaliser and the pre-tokenizer under which texts may be cut into words before they are encoded.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPECIALS = ("<|startoftext|>", "<|endoftext|>")
+#: Letters of Latin-1, whose lower case is one character of it, and other characters that are never part of an apostrophe's ending.
+_LETTER, _BLANK, _MARK = "a-z\u00df-\u00f6\u00f8-\u00ff", "\t\n\x0b\x0c\r ", "!-&(-/:-@\\[-`{-~"
+_UPPER = "A-Z\u00c0-\u00d6\u00d8-\u00de"
+#: Texts of letters, digits, stops, commas and blanks, in which a stop or comma stands between a letter or digit and a blank or the end.
+_PLAIN = rf"\A[{_BLANK}]*(?:[{_LETTER}{_UPPER}0-9]+[.,]?(?:[{_BLANK}]+|\z))*\z"
+_KNOWN = rf"\A[{_LETTER}{_UPPER}0-9{_BLANK}{_MARK}]*\z"
+#: The tokenizer's own words in lower-case text of known characters.
+_WORDS = rf"[{_LETTER}]+|[0-9]|[{_MARK}]+"
+_ONE_WORD = re.compile(_WORDS)
+#: Bytes of text encoded at a time.
+_SLICE = 4 << 20
+
+
+def splits_into_words(path: str) -> bool:
+    """Whether the tokenizer lower-cases, never joins across white space, and ends every word with an end-of-word token."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _SPLIT} and first.get("invert") is True
+    added = {t["content"] for t in spec.get("added_tokens") or ()}
+    return spec.get("normalizer") == _NORMALIZER and split and bool(spec["model"].get("end_of_word_suffix")) and added <= set(_SPECIALS)
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes of unsigned 32-bit numbers."""
+    """Ids of texts. Under a tokenizer that splits into words, words are remembered; under any other, whole texts are encoded."""
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        #: Ids of pieces: those met since the last change of generations, and those of the generation before.
-        self.seen: dict[str | bytes, bytes] = {}
-        self.before: dict[str | bytes, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
-        if suffix:
-            self.is_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [_pieces(t) for t in texts]
+        self.by_words = splits_into_words(path)
+        #: Ids of words as bytes: those met since the last change of generations, and those of the generation before.
+        self.seen: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
+        if self.by_words:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.is_end[[i for t, i in vocabulary.items() if t.endswith(self.tokenizer.model.end_of_word_suffix)]] = True
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for f in found for i in f], "<u4"), np.array([len(f) for f in found], np.int64)
+        words = _words(texts)
+        coded = words.flatten().dictionary_encode()
+        ids = [self._of(coded.dictionary.to_pylist())]
+        sizes = np.fromiter(map(len, ids[0]), np.int64, len(ids[0])) // 4
+        pool = np.frombuffer(b"".join(ids.pop()), "<u4")
+        at, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        taken = sizes[which]
+        upto = np.append(0, np.cumsum(taken))
+        out = pool[np.repeat(at[which] - upto[:-1], taken) + np.arange(upto[-1])]
+        edges = words.offsets.to_numpy()
+        return out, np.diff(upto[edges - edges[0]])
+
+    def _of(self, words: list[str]) -> list[bytes]:
         if 2 * len(self.seen) > CACHE:
-            self.before, self.seen = self.seen, {}
+            self.before, self.seen = self.seen, {"": b""}
         seen, before = self.seen, self.before
-        here = set().union(*split)
-        new = here.difference(seen)
-        kept = new.intersection(before)
-        seen.update((p, before[p]) for p in kept)
-        new -= kept
-        texts_of = {p: p if isinstance(p, str) else p.decode("latin-1") for p in new}
-        words = [p for p, t in texts_of.items() if t is not p and t.isalpha()]
-        for at in range(0, len(words), 2048):
-            self._words(words[at : at + 2048])
-        rest = [p for p in new if p not in seen]
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast([texts_of[p] for p in rest], add_special_tokens=False), strict=True):
-            seen[p] = array("I", e.ids).tobytes()
-        # A small dictionary of this batch's pieces stays in the processor's cache.
-        near = {p: seen[p] for p in here}
-        return [b"".join(map(near.__getitem__, s)) for s in split]
-
-    def _words(self, words: list[bytes]) -> None:
-        """Encode Latin-1 words of letters in one go: each is one word to the tokenizer and ends with an end-of-word token."""
-        joined = b" ".join(words).decode("latin-1")
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ids = list(map(seen.get, words))
+        new = []
+        for i, known in enumerate(ids):
+            if known is None:
+                w = words[i]
+                if (old := before.get(w)) is None:
+                    new.append(i)
+                else:
+                    seen[w] = ids[i] = old
+        simple = [i for i in new if words[i].isascii() and words[i].islower() and words[i].isalpha()]
+        for k in range(0, len(simple), 2048):
+            self._together([words[i] for i in simple[k : k + 2048]])
+        rest = [words[i] for i in new if words[i] not in seen]
+        known = [w for w in rest if _is_known(w)]
+        for k in range(0, len(known), 2048):
+            self._together(known[k : k + 2048])
+        rest = [w for w in rest if w not in seen]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            seen[w] = array("I", e.ids).tobytes()
+        for i in new:
+            ids[i] = seen[words[i]]
+        return ids
+
+    def _together(self, words: list[str]) -> None:
+        """Encode strings of known characters in one go: every word of the tokenizer in them ends with an end-of-word token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        counts = np.fromiter((1 if w.isalpha() else len(_ONE_WORD.findall(w)) for w in words), np.int64, len(words))
         ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
-        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
+        if len(ends) == counts.sum() and ends[-1] == 4 * len(ids):
             data, start = ids.tobytes(), 0
-            for word, end in zip(words, ends.tolist(), strict=True):
+            for word, end in zip(words, ends[np.cumsum(counts) - 1].tolist(), strict=True):
                 self.seen[word] = data[start:end]
                 start = end
 
 
+def _is_known(word: str) -> bool:
+    """Lower-case and of known characters alone; special strings are left to the tokenizer."""
+    return "<|" not in word and not _ONE_WORD.sub("", word)
+
+
+def _words(texts: pa.Array) -> pa.ListArray:
+    """The strings that each text is cut into; the tokenizer encodes them alike together or apart.
+
+    Text of known characters falls, in lower case, into the tokenizer's own words, other text into what stands between
+    ASCII white space, which the tokenizer treats as a separator whatever stands around it.
+    """
+    plain = pc.match_substring_regex(texts, _PLAIN).to_numpy(zero_copy_only=False)
+    known = pc.match_substring_regex(texts, _KNOWN).to_numpy(zero_copy_only=False) & ~pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False) & ~plain
+    groups = [np.flatnonzero(plain), np.flatnonzero(known), np.flatnonzero(~plain & ~known)]
+    a, b, c = (texts.take(pa.array(g)) for g in groups)
+    a = pc.utf8_lower(a)
+    for mark in ".,":
+        a = pc.replace_substring(a, mark, " " + mark)
+    b = pc.replace_substring_regex(pc.utf8_lower(b), rf"({_WORDS})", r"\1 ")
+    lists = pa.concat_arrays([pc.ascii_split_whitespace(x) for x in (a, b, c)])
+    return lists.take(pa.array(np.argsort(np.concatenate(groups), kind="stable")))
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -221,40 +300,14 @@ def encoder(path: str, special_as_text: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-#: Latin-1 text in lower case, as the tokenizer's normaliser makes it, with blanks for white space.
-_LOWER = bytes(b" "[0] if b in b"\t\n\x0b\x0c\r" else ord(chr(b).lower()) if len(chr(b).lower()) == 1 else b for b in range(256))
-_LETTERS = b"abcdefghijklmnopqrstuvwxyz" + bytes(b for b in range(0xDF, 0x100) if b != 0xF7)
-#: Texts of these alone need no pattern if no stop follows another or a blank.
-_PLAIN = _LETTERS + b"0123456789., "
-_ODD_STOPS = (b"..", b".,", b",.", b",,", b" .", b" ,")
-#: Texts of these alone, which lack apostrophes, fall into the tokenizer's words: letters, digits, runs of other marks.
-_KNOWN = _LETTERS + b" " + bytes(b for b in range(33, 127) if b != b"'"[0])
-_WORDS = re.compile(rb"[" + _LETTERS + rb"]+|[0-9]|[^ 0-9" + _LETTERS + rb"]+")
-
-
-def _pieces(text: str | None) -> list[str] | list[bytes]:
-    """Parts of a text that the tokenizer encodes alike together or apart; repeated ones are remembered.
-
-    Latin-1 texts fall into bytes of that code, in lower case: into the tokenizer's own words where their
-    characters are known, a full stop or comma before a blank being one, else into what stands between white
-    space. Other texts fall into strings between ASCII white space.
-    """
-    if not text:
-        return []
-    try:
-        raw = text.encode("latin-1")
-    except UnicodeEncodeError:
-        raw = None
-    if raw is None or b"<|" in raw:
-        for c in "\t\n\x0b\x0c\r":
-            text = text.replace(c, " ")
-        return [p for p in text.split(" ") if p]
-    raw = raw.translate(_LOWER)
-    if not raw.translate(None, _PLAIN) and raw[0] not in b".," and not any(x in raw for x in _ODD_STOPS):
-        return raw.replace(b". ", b" . ").replace(b", ", b" , ").split()
-    if not raw.translate(None, _KNOWN):
-        return _WORDS.findall(raw)
-    return raw.split()
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of some ``_SLICE`` bytes of text, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        done = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _SLICE, "right")))
+        yield b.slice(at, done - at)
+        at = done
 
 
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, block: int = BLOCK, segment: int = SEGMENT, special_as_text: bool = False) -> str:
@@ -262,35 +315,46 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
     spark = docs.sparkSession
     path = path or shared_dir(spark, "tokens")
     picked = docs.select(col(id_col).alias("doc"), col(text_col).alias("text"))
-    ordered = picked.repartitionByRange(F.col("doc").asc_nulls_first()).sortWithinPartitions(F.col("doc").asc_nulls_first(), F.xxhash64("text"))
+    # Rows of equal id are dealt by their texts' hashes, too.
+    tie = F.xxhash64("text")
+    ordered = picked.repartitionByRange(F.col("doc").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc").asc_nulls_first(), tie)
     kind = picked.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, part = encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
-        last = np.array([end], "<u4").tobytes()
-        held: list[bytes] = []
-        ids, size, number = [], 0, 0
+        tokens: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        docs_of: list[pa.Array] = []
+        size = number = 0
 
         def close() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(held), "<u4")
-            data = write_segment(tokens, np.array([len(h) // 4 for h in held], np.int64), block)
-            row = [pa.array([part]), pa.array([number]), pa.array([len(tokens)]), pa.array([len(held)]), pa.array([ids], pa.list_(id_type)), pa.array([data], pa.binary())]
+            flat, sizes, docs = np.concatenate(tokens), np.concatenate(lengths), pa.concat_arrays(docs_of)
+            row = [pa.array([part]), pa.array([number]), pa.array([len(flat)]), pa.array([len(docs)]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([write_segment(flat, sizes, block)], pa.binary())]
+            for held in (tokens, lengths, docs_of):
+                held.clear()
             return pa.RecordBatch.from_arrays(row, names=["part", "number", "n_tokens", "n_docs", "docs", "payload"])
 
-        id_type = None
         for b in batches:
-            id_type = b.column(0).type
-            for at in range(0, b.num_rows, 256):
-                s = b.slice(at, 256)
-                for i, data in zip(s.column(0).to_pylist(), encode(s.column(1).to_pylist()), strict=True):
-                    held.append(data + last)
-                    ids.append(i)
-                    size += len(data) // 4 + 1
+            for s in _slices(b):
+                ids, counts = encode(s.column(1))
+                ends = np.cumsum(counts + 1)
+                flat = np.full(int(ends[-1]), end, np.uint32)
+                inside = np.ones(len(flat), bool)
+                inside[ends - 1] = False
+                flat[inside] = ids
+                at = 0
+                while at < len(counts):
+                    done = min(len(counts), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + segment - size)) + 1)
+                    a, z = int(ends[at - 1]) if at else 0, int(ends[done - 1])
+                    tokens.append(flat[a:z])
+                    lengths.append(counts[at:done] + 1)
+                    docs_of.append(s.column(0).slice(at, done - at))
+                    size, at = size + z - a, done
                     if size >= segment:
                         yield close()
-                        held, ids, size, number = [], [], 0, number + 1
-        if held:
+                        size, number = 0, number + 1
+        if tokens:
             yield close()
 
     out = ordered.mapInArrow(run, f"part long, number long, n_tokens long, n_docs long, docs array<{kind}>, payload binary")
@@ -320,9 +384,12 @@ def read(spark: SparkSession, path: str, *, id_col: str = "doc_id", ids: bool =
 
     schema = f"s_part long, s_number long, doc {kind}, begin long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     rows = stored.select("part", "number", "docs", "payload").mapInArrow(run, schema)
-    # A row per segment, without payloads: segments are large, so this window is over few rows.
-    before = F.sum("n_tokens").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))
-    starts = stored.select("part", "number", F.coalesce(before, F.lit(0)).alias("before"))
+    # Tokens before a part, over a row per part, and before a segment within its part.
+    total = stored.groupBy(F.col("part").alias("t_part")).agg(F.sum("n_tokens").alias("t"))
+    ahead = F.coalesce(F.sum("t").over(W.orderBy("t_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("number").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = stored.select("part", "number", within.alias("within")).join(total.select("t_part", ahead.alias("ahead")), F.col("part") == F.col("t_part"))
+    starts = starts.select("part", "number", (F.col("ahead") + F.col("within")).alias("before"))
     joined = rows.join(starts, (F.col("part") == F.col("s_part")) & (F.col("number") == F.col("s_number")))
     return joined.select(F.col("doc").alias(id_col), (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 

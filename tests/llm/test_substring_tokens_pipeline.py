@@ -213,9 +213,22 @@ def test_encoding_by_pieces_equals_the_tokenizer(special):
     t.encode_special_tokens = special
     rng = random.Random(6)
     texts = ODD + [prose(rng, 300) for _ in range(5)] + ["".join(rng.choice("ab .,'’\n\té\xa0!ЖΣ中") for _ in range(60)) for _ in range(300)]
-    got = token_store.Encoder(tokenizer_path(), special)(texts)
-    for text, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+    encode = token_store.Encoder(tokenizer_path(), special)
+    for _ in range(2):  # unseen words, then remembered ones
+        ids, sizes = encode(pa.array(["skipped", *texts])[1:])
+        assert len(sizes) == len(texts) and sizes.sum() == len(ids)
+        for text, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert got.tolist() == t.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_a_cased_tokenizer_gets_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert token_store.splits_into_words(tokenizer_path()) and not token_store.splits_into_words(path)
+    ids, sizes = token_store.Encoder(path)(pa.array([*ODD, "Mixed Case  text"]))
+    for text, got in zip([*ODD, "Mixed Case  text"], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_files_hold_what_was_written(spark, odd_docs, no_docs):
