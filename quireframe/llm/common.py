@@ -61,28 +61,44 @@ def fold_of(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(-1)).cast("int")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make a private one only where none is set (tests, local mode)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one that the session checkpoints to.
+
+    Where neither is set, a session on the local machine gets a temporary folder of its own; any other is an error,
+    as executors would not see each other's files.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quireframe-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quireframe-checkpoint-")
-        )
+        sc.setCheckpointDir(named)
+    return named
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a written table beside the checkpoints, visible to all executors."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{os.urandom(8).hex()}"
+    """A fresh name in the shared folder for a written table."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that later reads survive a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a written table, which takes less room than a checkpoint.
+
+    Nothing but the cluster's own cleaning of the shared folder removes it: results that are not computed yet read it.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the installed public tokenizers keep a vocabulary; the same on every machine of the cluster."""
     import public_tokenizers

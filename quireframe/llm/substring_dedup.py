@@ -21,8 +21,13 @@ that a repeat covers are removed. What stays is the text as it was, piece by pie
 
 Two passes: the first counts one hash a span, combined before the shuffle; the
 second sends the spans through a semi-join with the hashes that occur twice or more,
-and only what is left is given its first place. A hash that occurs everywhere is a
-skewed join key, never a collected group.
+and what is left is ordered within its hash, where it is. Hashes of more than one in
+``HOT`` of all repeated spans, fewer than HOT of them, are known from the first pass:
+their spans are dealt out by document, ordered part by part, and only the first of
+each part are brought together.
+
+``first_docs`` names the first document of each repeated span; of a hot one, that
+of the part, which comes before it, too.
 
 Defined results: null stays null, empty stays empty; a text without words has no
 sentence. A null id comes first in the order. Rows equal in id and text are one
@@ -42,9 +47,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col
+from .common import col, stored
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20
@@ -54,6 +60,9 @@ WINDOW = 8
 DENSE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3001, 0x9FFF), (0xF900, 0xFAFF), (0xFF01, 0xFFEF), (0x20000, 0x3FFFF))
 #: Full stops, question and exclamation marks of East Asian scripts.
 DENSE_STOPS = (0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61)
+#: A hash is hot if over one in HOT of all repeated spans have it; its spans go to PARTS parts.
+HOT = 2_000
+PARTS = 64
 _ROWS = 256
 _PLACE = 16
 _SPACE = np.zeros(256, bool)
@@ -228,16 +237,23 @@ def spans(texts: pa.Array, min_sentences: int, min_words: int) -> tuple[np.ndarr
     return at.text[start], start - at.begins[at.text[start]], end - start, h[0].view(np.int64), (h[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), offsets, longer
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _has_keys(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id of its own."""
+    ids = docs.groupBy(col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    return ids.where("n > 1 or id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> DataFrame:
+    """(doc, tkey, text): tkey tells rows of one id apart, by their text; it is 0 if no two rows share an id."""
     text = col(text_col)
-    return docs.select(col(id_col).alias("doc"), F.xxhash64(text).alias("tkey"), text.alias("text"))
+    return docs.select(col(id_col).alias("doc"), (F.lit(0).cast("long") if by_id else F.xxhash64(text)).alias("tkey"), text.alias("text"))
 
 
-def span_rows(docs: DataFrame, *, id_col: str, text_col: str, min_sentences: int, min_words: int, hashes_only: bool = False) -> DataFrame:
+def span_rows(docs: DataFrame, *, id_col: str, text_col: str, min_sentences: int, min_words: int, by_id: bool = False, hashes_only: bool = False) -> DataFrame:
     """(h1) or (doc, tkey, place, h1, h2, longer): place is the first sentence and, in 16 bits, the number of sentences."""
     if not 0 < min_words < 1 << (_PLACE - 1) or not 0 < min_sentences < 1 << (_PLACE - 1):
         raise ValueError("min_words and min_sentences must be from 1 to 32767")
-    picked = _keyed(docs, id_col, text_col)
+    picked = _keyed(docs, id_col, text_col, by_id)
     picked = picked.select("text") if hashes_only else picked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,23 +272,41 @@ def span_rows(docs: DataFrame, *, id_col: str, text_col: str, min_sentences: int
     return picked.mapInArrow(run, "h1 long" if hashes_only else f"doc {kind}, tkey long, place long, h1 long, h2 int, longer binary")
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, by_id: bool = False, hot: int = HOT, parts: int = PARTS) -> DataFrame:
     """(doc, tkey, place, first_doc): every occurrence of a span but the first of its hash."""
     options = {"id_col": id_col, "text_col": text_col, "min_sentences": min_sentences, "min_words": min_words}
-    twice = span_rows(docs, **options, hashes_only=True).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
-    # Written out, so that the join has its own exchanges, which split skewed hashes. Equal rows count twice, but have one place.
-    twice = checkpoint(twice.select("h1"))
-    rows = span_rows(docs, **options).join(twice, "h1", "left_semi")
+    counted = span_rows(docs, **options, hashes_only=True).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1")
+    twice = stored(counted, "repeated-hashes")  # equal rows count twice, but have one place
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    # Fewer than ``hot`` rows, as each has over one in ``hot`` of all.
+    often = F.broadcast(twice.where(F.col("n") * hot > total).select(F.col("h1").alias("o1")))
+    is_hot, on = F.col("o1").isNotNull(), F.col("h1") == F.col("o1")
+    part = F.when(is_hot, F.pmod(F.xxhash64("doc", "tkey"), F.lit(parts)).cast("int")).otherwise(-1)
+    every_part = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(-1))))
+    wanted = twice.join(often, on, "left").select("h1", every_part.alias("part"))
+    rows = span_rows(docs, **options, by_id=by_id).join(often, on, "left").withColumn("part", part).drop("o1")
+    rows = rows.join(wanted, ["h1", "part"], "left_semi")
     piece = lambda i: F.substring("longer", 8 * i + 1, F.lit(8))
-    beyond = F.when(F.octet_length("longer") > 0, F.transform(F.sequence(F.lit(0), (F.octet_length("longer") / 8).cast("int") - 1), lambda i: F.struct((i + 1).alias("more"), piece(i).alias("x"))))
-    own = F.array(F.struct(F.lit(0).alias("more"), F.lit(None).cast("binary").alias("x")))
-    each = F.concat(own, F.coalesce(beyond, F.slice(own, 1, 0)))
-    every = checkpoint(rows.select("doc", "tkey", "place", "h1", "h2", F.inline(each)).select("doc", "tkey", (F.col("place") + F.col("more")).alias("place"), "h1", "h2", F.coalesce("x", F.lit(b"")).alias("x")))
-    key = ["h1", "h2", "x"]
+    count = (F.octet_length("longer") / 8).cast("int")
+    beyond = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i + 1).alias("more"), piece(i).alias("x")))
+    own = F.array(F.struct(F.lit(0).alias("more"), F.lit(b"").alias("x")))
+    each = F.when(count > 0, F.concat(own, beyond)).otherwise(own)
+    every = rows.select("doc", "tkey", "place", "h1", "h2", "part", F.inline(each)).withColumn("place", F.col("place") + F.col("more"))
     spot = F.struct("doc", "tkey", "place")
-    first = every.groupBy(*key).agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    joined = every.join(checkpoint(first), key)
-    return joined.where(spot != F.col("first")).select("doc", "tkey", "place", F.col("first.doc").alias("first_doc"))
+
+    def led(df: DataFrame, *keys: str) -> DataFrame:
+        """With the first place of each key."""
+        ahead = W.partitionBy(*keys).orderBy("doc", "tkey", "place").rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn("first", F.first(spot).over(ahead))
+
+    # The semi-join has dealt the rows by hash and part, so that this window needs no exchange.
+    kept = led(every, "h1", "part", "h2", "x").where((spot != F.col("first")) | (F.col("part") >= 0))
+    key = F.when(spot == F.col("first"), F.struct("h1", "h2", "x"))
+    kept = stored(kept.select("doc", "tkey", "place", F.col("first.doc").alias("first_doc"), key.alias("key")), "repeated-spans")
+    # Firsts of a hot hash's parts: at most ``parts`` of one key.
+    firsts = led(kept.where("key is not null").select("doc", "tkey", "place", "key.*"), "h1", "h2", "x").where(spot != F.col("first"))
+    firsts = firsts.select("doc", "tkey", "place", F.col("first.doc").alias("first_doc"))
+    return kept.where("key is null").drop("key").union(firsts)
 
 
 def _without(texts: pa.Array, places: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -303,11 +337,12 @@ def _without(texts: pa.Array, places: pa.Array) -> tuple[pa.Array, np.ndarray, n
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row of ``docs``: id, text (what stays), n_removed (sentences), removed_words, first_docs (sorted ids)."""
-    found = repeats(docs, id_col=id_col, text_col=text_col, **options)
+    by_id = _has_keys(docs, id_col)
+    found = repeats(docs, id_col=id_col, text_col=text_col, by_id=by_id, **options)
     by_doc = found.groupBy(F.col("doc").alias("r_doc"), F.col("tkey").alias("r_key")).agg(
         F.sort_array(F.collect_set("place")).alias("places"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")
     )
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, by_id)
     kind = keyed.schema[0].dataType.simpleString()
     joined = keyed.join(by_doc, F.col("doc").eqNullSafe(F.col("r_doc")) & (F.col("tkey") == F.col("r_key")), "left")
     none = F.array().cast("array<long>")

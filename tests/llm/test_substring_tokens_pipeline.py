@@ -176,6 +176,19 @@ def test_whole_result_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"], r["n_removed"], r["removed_words"]) for r in got), key=order) == sorted(slow, key=order)
 
 
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_hot_spans_are_dealt_out(spark, hot):
+    rng = random.Random(31)
+    line = lambda n: " ".join(bare(rng, n)) + "."
+    common = " ".join(line(9) for _ in range(4))
+    rows = [(i, f"{line(8)} {common} {line(7)}") for i in range(120)] + [(None, common), (None, common), (500, line(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring_dedup.remove_repeats(docs, hot=hot, parts=8).collect()
+    want = all_runs_removed([(-1 if d is None else d, t) for d, t in rows])
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in got) == sorted((str(d), len(want.get((-1 if d is None else d, t), ()))) for d, t in rows)
+    assert all(f is None or f < r["doc_id"] for r in got for f in r["first_docs"] if r["doc_id"] is not None)
+
+
 def test_text_without_blanks_is_deduplicated(spark):
     text = "".join(f"第{chr(0x4E00 + i)}句话没有任何空格{chr(0x5E00 + i * 3)}。" for i in range(60))
     got = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, "开头不同。" + text)], "doc_id long, text string")).orderBy("doc_id").collect()
