@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,7 +14,8 @@ from .conftest import prose
 
 
 def slow_fingerprint(text):
-    w = (text or "").encode().split()
+    # Words between ASCII white space, A-Z lower-cased, by the contract's letter.
+    w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))]
     if not w:
         return 0
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(len(w) - 3, 1))]
@@ -71,15 +73,15 @@ def test_index_links_what_brute_force_links(spread):
     assert simhash.GrayIndex(fps).links(4).tolist() == brute_components(fps.tolist())
 
 
-@pytest.mark.parametrize("group", [64, 0.0001])
-def test_links_over_blocks(spark, group):
+@pytest.mark.parametrize(("group", "large"), [(64, 100_000), (0.0001, 100_000), (64, 7)])
+def test_links_over_blocks(spark, group, large):
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 63, 60, dtype=np.uint64)[rng.integers(0, 60, 500)]
     for _ in range(3):
         fps = fps ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))
     fps = np.unique(fps)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, group=group)).collect()}
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, group=group, large=large)).collect()}
     signed = fps.view(np.int64).tolist()
     groups: dict[int, set] = {}
     for x, c in zip(signed, brute_components(fps.tolist()), strict=True):
@@ -93,6 +95,30 @@ def test_components_of_chains(spark):
     assert got[50] == 1 and got[100] == 51 and got[200] == 151 and got[600] == 500
 
 
+def test_query_equals_brute_force(spark):
+    """The contract's columns, from the query itself, over all of the smallest table."""
+    from quireframe.llm.queries import op3_simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    docs.sort(key=lambda r: r["doc_id"])
+    fps = [slow_fingerprint(r["text"]) for r in docs]
+    want = {r["doc_id"]: (f"{f:016x}", docs[c]["doc_id"]) for r, f, c in zip(docs, fps, brute_components(fps), strict=True)}
+    got = op3_simhash(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got.collect()} == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "x", "s"), (1, b, "x", "s"), (2, b.upper(), "y", "s"), (None, a, "z", "s"), (None, c, "p", "s"), (None, c, "q", "s"), (None, c + " ", "r", "s"), (9, "", "e", "s"), (8, None, "e", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string, row string")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r["doc_id"]), (r["text"] or "").lower().strip()) for r in kept.collect())
+    assert got == sorted([("1", a.lower()), ("1", b.lower()), ("None", c.lower()), ("8", "")])
+
+
 def test_odd_rows_and_dedup(spark, odd_docs, no_docs):
     got = simhash.near_duplicates(odd_docs)
     assert got.count() == odd_docs.count()
@@ -100,5 +126,6 @@ def test_odd_rows_and_dedup(spark, odd_docs, no_docs):
     assert {r["component_id"] for r in empty.collect()} == {2} and empty.count() == 4
     kept = simhash.deduplicated(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 6, 7]
+    # Both texts of id 1 stay, as they are no near copies, and so does the one of null id.
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "5", "6", "7", "None"]
     assert simhash.near_duplicates(no_docs).count() == simhash.deduplicated(no_docs).count() == 0
