@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +102,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(b: pa.RecordBatch, text: int = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of some ``size`` bytes in the column ``text``, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy())
+    at = 0
+    while at < b.num_rows:
+        done = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, done - at)
+        at = done
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the installed public tokenizers keep a vocabulary; the same on every machine of the cluster."""
     import public_tokenizers

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, shared_dir
+from .common import col, shared_dir, slices
 
 MAGIC = b"QTS1"
 BLOCK = 1024
@@ -178,8 +178,6 @@ _KNOWN = rf"\A[{_LETTER}{_UPPER}0-9{_BLANK}{_MARK}]*\z"
 #: The tokenizer's own words in lower-case text of known characters.
 _WORDS = rf"[{_LETTER}]+|[0-9]|[{_MARK}]+"
 _ONE_WORD = re.compile(_WORDS)
-#: Bytes of text encoded at a time.
-_SLICE = 4 << 20
 
 
 def splits_into_words(path: str) -> bool:
@@ -300,16 +298,6 @@ def encoder(path: str, special_as_text: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of some ``_SLICE`` bytes of text, one row at least."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy())
-    at = 0
-    while at < b.num_rows:
-        done = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _SLICE, "right")))
-        yield b.slice(at, done - at)
-        at = done
-
-
 def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end: int = END, block: int = BLOCK, segment: int = SEGMENT, special_as_text: bool = False) -> str:
     """Write all documents; returns the folder. Segments of a partition are in order, and so are partitions."""
     spark = docs.sparkSession
@@ -336,7 +324,7 @@ def write(docs: DataFrame, tokenizer: str, *, path: str | None = None, id_col: s
             return pa.RecordBatch.from_arrays(row, names=["part", "number", "n_tokens", "n_docs", "docs", "payload"])
 
         for b in batches:
-            for s in _slices(b):
+            for s in slices(b):
                 ids, counts = encode(s.column(1))
                 ends = np.cumsum(counts + 1)
                 flat = np.full(int(ends[-1]), end, np.uint32)
