@@ -9,8 +9,10 @@ each hit is then extended by comparing the words themselves, so that a hash
 collision never becomes a hit.
 
 Defined results: null and empty texts have no words. Rows equal in id and text
-count once per row of the input. Items of null id mark words but are not listed.
-An empty benchmark leaves every document clean.
+count once per row of the input. Items of null id mark words but are not listed; of
+equal items each is listed. Ties between hashes go to the leftmost k-gram. Texts of
+any length are read whole. An empty benchmark leaves every document clean, and no
+documents give no rows. Other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col, let, plain_words
+from .common import checkpoint, col, let, plain_words, stored
 
 #: Low bits of a fingerprint hold the position of its k-gram, so the least of a window is also its leftmost.
 POSITION_BITS = 31
 POSITION_MASK = (1 << POSITION_BITS) - 1
 #: The benchmark's fingerprints are broadcast up to this many bytes, and joined by a shuffle beyond.
 BROADCAST_BYTES = 48 << 20
+#: What a document's key takes in a broadcast table, at most (ids longer than this allows for are text).
+CANDIDATE_BYTES = 256
 
 
 def _packed(hashes: Column, at: Column, k: int, salt: int = 0) -> Column:
@@ -125,8 +129,14 @@ def window_hits(
     else:
         slim = spread.select("doc", "thash", "n_words", mark.alias("p"), fp.alias("fp"))
         near = slim.where(~is_doc).join(index, "fp").withColumn("start", F.col("p") - F.col("off"))
-        on = near["doc"].eqNullSafe(base["doc"]) & (near["thash"] == base["thash"])
-        found = near.join(base.dropDuplicates(["doc", "thash"]), on).where(kept)
+        # Words are needed of documents with a candidate alone. Where these are few, texts of others are never sent.
+        near = stored(near, "decontamination-candidates")
+        wanted = stored(near.select("doc", "thash").distinct(), "decontamination-documents").select(F.col("doc").alias("c_doc"), F.col("thash").alias("c_hash"))
+        few = wanted.count() * CANDIDATE_BYTES <= broadcast_bytes
+        some = base.join(F.broadcast(wanted) if few else wanted, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("thash") == F.col("c_hash")), "left_semi")
+        some = some.dropDuplicates(["doc", "thash"]).alias("s")
+        on = near["doc"].eqNullSafe(F.col("s.doc")) & (near["thash"] == F.col("s.thash"))
+        found = near.join(some, on).where(kept)
         found = found.select(near["doc"], near["thash"], "n_words", "p", "start", "gram")
         hits = found.unionByName(slim.where(is_doc).drop("fp"), allowMissingColumns=True)
     gram = F.when(~is_doc, F.col("gram"))
@@ -180,8 +190,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
     hits, _ = window_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = hits.where(F.col("gram").isNotNull()).select(
-        F.col("doc").alias("__doc"), F.col("thash").alias("__thash")
-    ).distinct()
-    on = col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(col(text_col)) == F.col("__thash"))
-    return docs.join(bad, on, "left_anti")
+    bad = hits.where(F.col("gram").isNotNull()).select(F.col("doc").alias("b_doc"), F.col("thash").alias("b_hash")).distinct()
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("k_doc"), F.xxhash64(col(text_col)).alias("k_hash"))
+    return rows.join(bad, F.col("k_doc").eqNullSafe(F.col("b_doc")) & (F.col("k_hash") == F.col("b_hash")), "left_anti").select("row.*")

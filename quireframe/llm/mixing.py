@@ -4,34 +4,35 @@ Every document of a source has the same expected number of copies, the source's
 target over its size. The expected copies are prefix-summed within the source in
 a fixed order, one random offset is added, and a document is emitted once per
 integer boundary that its share crosses: the floor or the ceiling of its
-expected copies. Of a few seeded offsets, evenly spread over the unit interval
-from a random start, each source takes the one whose words come nearest to its
-target: whole documents of very unequal length would else miss it in small sources.
+expected copies. The offset is drawn from a seed and the source's name, so reruns
+agree, and no document is favoured: over all offsets each has its expected copies.
 
 The order within a source is a hash bucket, then size (down in even buckets, up
 in odd ones, so that neighbours are of like size and the words taken stay near
 the target), then the row's hash. Prefix sums are taken inside buckets and
 shifted by the counts of the buckets before, so no source meets in one task; the
-number of buckets follows the square root of the number of documents.
+number of buckets follows the square root of the number of documents. As documents
+are taken whole, a source misses its target by up to about its longest document:
+little in large sources, much in one of a few documents.
 
 Defined results: null text has size 0, null source is a source of its own and
 comes last. A source of size 0 has target 0 and takes nothing. Equal rows are
-separate documents, and their copies may differ by one.
+separate documents, and their copies may differ by one, as may those of documents
+that tie in size and hash. Texts of any length are counted whole. Other columns are
+kept as they are, whatever their names. No documents give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACES, SPACE_SEP, checkpoint, col
+from .common import SPACE_SEP, col, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 20240607
-#: Random offsets tried for each source.
-OFFSETS = 32
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -69,7 +70,6 @@ def mix(
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
     seed: int = SEED,
-    offsets_tried: int = OFFSETS,
     columns: list[str] | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with ``columns`` (all, unless given) in a struct ``doc``, and size, source_size, target, copies."""
@@ -83,44 +83,32 @@ def mix(
         row.alias("row"),
         F.xxhash64(col(text_col)).alias("tie"),
     )
-    slim = checkpoint(spread.select("source", "size", "row", "tie")) if columns is None else None
-    sized = slim if slim is not None else checkpoint(spread)
-    targets = source_targets(sized, weights, cap)
+    # Sizes are counted once; whole rows are read again, and dealt out once.
+    slim = stored(spread.select("source", "size", "row"), "mixing-sizes")
+    targets = stored(source_targets(slim, weights, cap), "mixing-targets")
     stats = targets.select(F.col("source").alias("t_source"), "n_docs", "source_size", "target")
 
     def bucketed(df: DataFrame) -> DataFrame:
         buckets = F.greatest(F.lit(1), F.floor(F.sqrt("n_docs") / 8))
         hashed = F.conv(F.substring("row", 1, 8), 16, 10).cast("long")
-        return df.join(stats, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bucket", hashed % buckets)
+        return df.join(stats, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bucket", hashed % buckets).drop("t_source")
 
-    counts = bucketed(sized).groupBy("source", "bucket").count()
+    counts = bucketed(slim).groupBy("source", "bucket").count()
     ahead = F.sum("count").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    offsets = stored(counts.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(ahead, F.lit(0)).alias("ahead")), "mixing-buckets")
     way = F.when(F.col("bucket") % 2 == 0, -F.col("size")).otherwise(F.col("size"))
     within = W.partitionBy("source", "bucket").orderBy(way, "row", "tie")
-    ranked = bucketed(spread if slim is not None else sized).withColumn("rank", F.row_number().over(within))
     named = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce("source", F.lit("null"))).cast("binary"))
-    random = F.conv(F.substring(named, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    offset = F.conv(F.substring(named, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-
-    def placed(df: DataFrame) -> DataFrame:
-        ranked = bucketed(df).withColumn("rank", F.row_number().over(within))
-        on = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))
-        return ranked.join(offsets, on).withColumns({"at": F.col("ahead") + F.col("rank"), "each": each, "random": random})
-
-    def copies(offset: Column) -> Column:
-        return (F.floor(F.col("at") * F.col("each") + offset) - F.floor((F.col("at") - 1) * F.col("each") + offset)).cast("long")
-
-    tried = [(F.col("random") + i) / F.lit(float(offsets_tried)) for i in range(offsets_tried)]
-    sums = placed(sized).groupBy("source", "target").agg(*[F.sum(F.col("size") * copies(u)).alias(f"s{i}") for i, u in enumerate(tried)])
-    misses = [F.struct(F.abs(F.col(f"s{i}") - F.col("target")).alias("miss"), F.lit(i).alias("i")) for i in range(offsets_tried)]
-    chosen = sums.select(F.col("source").alias("c_source"), F.array_min(F.array(*misses))["i"].alias("i"))
-    drawn = placed(spread if slim is not None else sized).join(chosen, F.col("source").eqNullSafe(F.col("c_source")))
-    offset = (F.col("random") + F.col("i")) / F.lit(float(offsets_tried))
-    return drawn.select("doc", "size", "source_size", "target", copies(offset).alias("copies"))
+    ranked = bucketed(spread).withColumn("rank", F.row_number().over(within))
+    on = F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket"))
+    placed = ranked.join(offsets, on).select("doc", "size", "source_size", "target", (F.col("ahead") + F.col("rank")).alias("at"), each.alias("each"), offset.alias("u"))
+    crossed = F.floor(F.col("at") * F.col("each") + F.col("u")) - F.floor((F.col("at") - 1) * F.col("each") + F.col("u"))
+    return placed.select("doc", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document repeated as often as it was drawn, with the columns of ``docs``."""
     drawn = mix(docs, **options).where(F.col("copies") > 0)
-    return drawn.select("doc.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    return drawn.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

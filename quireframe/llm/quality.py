@@ -1,15 +1,21 @@
 """Quality rules with adaptive thresholds.
 
-Every document is measured; each measure is a share in thousandths. Per language
-and source, a sketch of each measure is a histogram over the fixed grid of 1,001
-shares: sketches merge by adding counts, in any order and exactly, and give
-quantiles within a thousandth. A group's threshold is its upper quartile plus
-``spread`` times its quartile range plus the measure's slack, so that it follows
-what is usual in the group. Groups of fewer than ``least`` documents take the
-merged sketch of their language, and small languages that of the corpus.
+Every document is measured; each measure is a rate in millionths (symbols and
+capitals by characters, repeated lines by lines, repeated words by words). Per
+language and source, a sketch of each measure is a histogram over cells that keep a
+rate's first ``DIGITS`` binary digits: sketches merge by adding counts, in any order
+and exactly, hold some 500 cells at most, and give quantiles within a sixteenth of
+their value. A group's threshold is its ninth decile plus ``spread`` times what that
+lies above the median, so that nothing but what is usual in the group decides. Groups
+of fewer than ``least`` documents take the merged sketch of their language, and small
+languages that of the corpus, merged from the languages'. A document is rejected if a
+measure exceeds its group's threshold by more than ``allow`` occurrences, so that a
+single line or symbol in a short text is not held against it.
 
 Defined results: null text has no words and fails. Null language and source are
-groups of their own. Equal rows are judged alike.
+groups of their own. Equal rows are judged alike, each on its own. A rate equal to
+its threshold is kept. Texts of any length are measured whole. Other columns are
+never read, whatever their names. No documents give no rows.
 
 ``n_repeat_words`` compares three-word windows by 64-bit hash within one document.
 """
@@ -26,8 +32,12 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SPREAD = 3
 LEAST = 200
-#: Measure: slack in thousandths above the group's fence.
-SLACK = {"symbols": 60, "dup_lines": 400, "repeats": 350, "capitals": 200}
+ALLOW = 3
+#: Binary digits of a rate that a cell of the sketch keeps.
+DIGITS = 5
+MILLION = 1_000_000
+#: Measure: what it counts, and by what.
+MEASURES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_capitals", "word_chars")}
 
 
 def _repeat_words(words: Column) -> Column:
@@ -80,59 +90,68 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def shares(measured: DataFrame) -> DataFrame:
-    """``measured`` with its shares in thousandths, 0 where there is nothing to divide by."""
-    share = lambda a, b: F.when(F.col(b) > 0, F.floor(F.lit(1000) * F.col(a) / F.col(b))).otherwise(F.lit(0)).cast("int")
-    return measured.select(
-        "*",
-        share("n_symbols", "word_chars").alias("symbols"),
-        share("n_dup_lines", "n_lines").alias("dup_lines"),
-        share("n_repeat_words", "n_words").alias("repeats"),
-        share("n_capitals", "word_chars").alias("capitals"),
-    )
+def rates(measured: DataFrame) -> DataFrame:
+    """``measured`` with its rates in millionths, 0 where there is nothing to divide by."""
+    rate = lambda a, b: F.when(F.col(b) > 0, F.expr(f"{MILLION} * {a} div {b}")).otherwise(F.lit(0)).cast("long")
+    return measured.select("*", *[rate(a, b).alias(m) for m, (a, b) in MEASURES.items()])
+
+
+def cell(rate: str) -> Column:
+    """The sketch's cell of a rate: how many binary digits are dropped, and those kept."""
+    dropped = f"greatest(length(bin({rate})) - {DIGITS}, 0)"
+    return F.expr(f"{dropped} * {1 << DIGITS} + shiftright({rate}, {dropped})").cast("int")
+
 
+def floor_of(cell: str) -> Column:
+    """The least rate of a cell."""
+    return F.expr(f"shiftleft(cast({cell} % {1 << DIGITS} as bigint), cast({cell} div {1 << DIGITS} as int))")
 
-def sketches(shared: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): the sketch of every group, as the counts of its grid cells."""
-    cells = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("bucket")) for m in SLACK])
-    return shared.select("lang", "source", F.inline(cells)).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+def sketches(rated: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): the sketch of every group, as the counts of its cells."""
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), cell(m).alias("bucket")) for m in MEASURES])
+    return rated.select("lang", "source", F.inline(cells)).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+
+def merged(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches merged down to ``keys``."""
+    return cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fences(cells: DataFrame, keys: list[str], spread: int = SPREAD) -> DataFrame:
-    """(keys, measure, size, fence): merges sketches down to ``keys`` and reads their quartiles."""
-    merged = cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    """(keys, measure, size, fence): the median and the ninth decile of merged sketches make the fence."""
     group = W.partitionBy(*keys, "measure")
     upto = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    run = merged.select(*keys, "measure", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("size"))
-    quartile = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("size"), F.col("bucket")))
-    out = run.groupBy(*keys, "measure").agg(F.max("size").alias("size"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    return out.select(*keys, "measure", "size", (F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias("fence"))
+    run = cells.select(*keys, "measure", "bucket", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("size"))
+    at = lambda tenths: F.min(F.when(10 * F.col("upto") >= tenths * F.col("size"), F.col("bucket")))
+    out = run.groupBy(*keys, "measure").agg(F.max("size").alias("size"), at(5).alias("mid"), at(9).alias("high"))
+    return out.select(*keys, "measure", "size", (floor_of("high") + spread * (floor_of("high") - floor_of("mid"))).alias("fence"))
 
 
-def thresholds(shared: DataFrame, *, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
+def thresholds(rated: DataFrame, *, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
     """(lang, source, t_<measure> for every measure): a row per language and source that occurs."""
-    cells = checkpoint(sketches(shared))
-    a, b, c = fences(cells, ["lang", "source"], spread).alias("a"), fences(cells, ["lang"], spread).alias("b"), fences(cells, [], spread).alias("c")
+    cells = checkpoint(sketches(rated))
+    by_lang = checkpoint(merged(cells, ["lang"]))
+    a, b = fences(cells, ["lang", "source"], spread).alias("a"), fences(by_lang, ["lang"], spread).alias("b")
+    c = fences(merged(by_lang, []), [], spread).alias("c")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure")))
     both = both.join(F.broadcast(c), F.col("a.measure") == F.col("c.measure"))  # one row per measure
     pick = F.when(F.col("a.size") >= least, F.col("a.fence")).when(F.col("b.size") >= least, F.col("b.fence")).otherwise(F.col("c.fence"))
     one = both.select("a.lang", "a.source", F.col("a.measure").alias("measure"), pick.alias("fence"))
-    return one.groupBy("lang", "source").agg(
-        *[(F.max(F.when(F.col("measure") == m, F.col("fence"))) + s).cast("int").alias(f"t_{m}") for m, s in SLACK.items()]
-    )
+    return one.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"t_{m}") for m in MEASURES])
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", spread: int = SPREAD, least: int = LEAST, **columns) -> DataFrame:
-    """Per row of ``docs``: id, the measures, shares and thresholds, base_failed, kept."""
-    shared = checkpoint(shares(measure(docs, id_col=id_col, **columns)))
-    t = thresholds(shared, spread=spread, least=least).alias("t")
-    s = shared.alias("s")
+def judge(docs: DataFrame, *, id_col: str = "doc_id", spread: int = SPREAD, least: int = LEAST, allow: int = ALLOW, **columns) -> DataFrame:
+    """Per row of ``docs``: id, the measures, rates and thresholds, base_failed, kept."""
+    rated = checkpoint(rates(measure(docs, id_col=id_col, **columns)))
+    t = thresholds(rated, spread=spread, least=least).alias("t")
+    s = rated.alias("s")
     on = F.col("s.lang").eqNullSafe(F.col("t.lang")) & F.col("s.source").eqNullSafe(F.col("t.source"))
-    joined = s.join(t, on, "left").select("s.*", *[f"t_{m}" for m in SLACK])
+    joined = s.join(t, on, "left").select("s.*", *[f"t_{m}" for m in MEASURES])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     usual = F.lit(True)
-    for m in SLACK:
-        usual = usual & (F.col(m) <= F.col(f"t_{m}"))
+    for m, (count, by) in MEASURES.items():
+        usual = usual & (MILLION * (F.col(count) - allow) <= F.col(f"t_{m}") * F.col(by))
     return joined.select(
         F.col("doc").alias(id_col), *joined.columns[1:], failed.alias("base_failed"), (~failed & usual).alias("kept")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, licenses, mixing, quality, secrets, simhash, substring_dedup, token_store, toxicity
-from .common import HELD_OUT, fold_of, table, tokenizer_path
+from .common import HELD_OUT, fold_of, stored, table, tokenizer_path
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(table(spark, sf_dir, "documents"))
+    """The second of two scans: the first fills the ledger, and the ledger answers the second, which scans nothing again."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secrets.scan(docs)
+    found, _ = secrets.scan(docs, stored(ledger, "ledger"))
     base = F.filter("findings", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
     line = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")

@@ -5,13 +5,16 @@ rule-version pairs that have scanned it and their findings. A scan runs only the
 pairs that a blob has not seen, once per blob however many documents hold it,
 and joins the findings back to every document.
 
-A cheap gate, the alternation of what every rule needs, runs on each unseen row,
-so that only texts which may hold a finding are shuffled to be deduplicated.
-Spark has no function for the places of all matches, so a text is split at the
-matches: a running sum over the lengths of pieces and matches gives the places.
+A cheap gate, the alternation of what every rule needs, reads each row, so that only
+texts which may hold a finding are shuffled to be deduplicated; addresses alone meet
+the ledger. Spark has no function for the places of all matches, so a text is split
+at the matches: a running sum over the lengths of pieces and matches gives the places.
 
 Defined results: null text is an empty one. Offsets are code points, ends are
-exclusive. Rows equal in id and text are separate rows of the result.
+exclusive. Findings that start together come in the rules' order. Rows equal in id
+and text are separate rows of the result. Rows of the ledger given that have one
+address count as one. Texts of any length are scanned whole. Other columns are never
+read, whatever their names. No documents give no rows and leave the ledger as it is.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, col
+from .common import checkpoint, col, stored
 
 
 @dataclass(frozen=True)
@@ -115,41 +118,32 @@ def scan(
     The first has a row per row of ``docs``: id, sha, findings (those of the current rule versions). The second has
     LEDGER's columns for every blob of ``docs`` and of the ledger given; write it to use it in the next scan.
     """
-    current = F.array(*[F.lit(r.key) for r in rules])
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    rows = docs.select(
-        col(id_col).alias("doc"), address(col(text_col)).alias("sha"), F.coalesce(col(text_col), F.lit("")).alias("text")
-    )
-    gate = F.col("text").rlike("|".join(r.gate for r in rules))
+    spark = docs.sparkSession
+    no_keys, none = F.array().cast("array<string>"), F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
+    current, kinds = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.kind) for r in rules])
+    rows = docs.select(col(id_col).alias("doc"), address(col(text_col)).alias("sha"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    gated = rows.where(F.col("text").rlike("|".join(r.gate for r in rules))).select("sha", "text").dropDuplicates(["sha"])
+    held = rows.select("sha").distinct().withColumn("here", F.lit(True))
+    old = spark.createDataFrame([], LEDGER) if ledger is None else ledger
+    merge = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    old = old.groupBy("sha").agg(merge("scanned").alias("o_scanned"), merge("findings").alias("o_findings"))
+    both = held.join(old, "sha", "full_outer").select("sha", F.coalesce("here", F.lit(False)).alias("here"), F.coalesce("o_scanned", no_keys).alias("o_scanned"), F.coalesce("o_findings", none).alias("o_findings"))
+    both = both.withColumn("todo", F.when(F.col("here"), F.array_except(current, "o_scanned")).otherwise(no_keys))
     if ledger is None:
-        unseen = rows.where(gate).select("sha", "text", current.alias("todo"))
+        unseen = gated.withColumn("todo", current)
     else:
-        seen = ledger.select(F.col("sha").alias("l_sha"), "scanned")
-        todo = F.array_except(current, F.coalesce("scanned", F.array().cast("array<string>")))
-        unseen = (
-            rows.join(seen, F.col("sha") == F.col("l_sha"), "left")
-            .select("sha", "text", todo.alias("todo"))
-            .where(F.size("todo") > 0)
-            .where(gate)
-        )
-    fresh = checkpoint(scan_blobs(unseen.dropDuplicates(["sha"]), rules))
-    held = rows.select("sha").distinct()
+        both = stored(both, "ledger-pairs")
+        unseen = gated.join(both.where(F.size("todo") > 0).select("sha", "todo"), "sha")
+    fresh = checkpoint(scan_blobs(unseen, rules)).withColumnRenamed("findings", "new")
+    # A finding of an earlier version of a rule gives way once the current version has scanned the blob.
+    again = F.transform("todo", lambda g: F.split_part(g, F.lit("@"), F.lit(1)))
+    lasting = F.filter("o_findings", lambda x: ~F.array_contains(again, x["kind"]))
+    known = both.join(fresh, "sha", "left").select(
+        "sha", F.array_union("o_scanned", "todo").alias("scanned"), F.sort_array(F.concat(lasting, F.coalesce("new", none))).alias("findings")
+    )
     if ledger is None:
-        known = held.join(fresh, "sha", "left").select("sha", current.alias("scanned"), "findings")
+        found = fresh.select(F.col("sha").alias("f_sha"), F.col("new").alias("findings"))
     else:
-        old = ledger.select("sha", F.col("scanned").alias("o_scanned"), F.col("findings").alias("o_findings"))
-        # A finding of an earlier version of a rule gives way once the current version has scanned the blob.
-        wanted = F.filter("o_findings", lambda x: ~F.array_contains(F.transform("gone", lambda g: F.split_part(g, F.lit("@"), F.lit(1))), x["kind"]))
-        gone = F.when(F.col("here"), F.array_except(current, F.coalesce("o_scanned", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
-        both = held.withColumn("here", F.lit(True)).join(old, "sha", "full_outer").withColumn("here", F.coalesce("here", F.lit(False)))
-        both = both.withColumn("gone", gone).join(fresh, "sha", "left")
-        none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
-        merged = F.sort_array(F.concat(F.coalesce(wanted, none), F.coalesce("findings", none)))
-        scanned = F.array_union(F.coalesce("o_scanned", F.array().cast("array<string>")), F.when(F.col("here"), current).otherwise(F.array().cast("array<string>")))
-        known = both.select("sha", scanned.alias("scanned"), merged.alias("findings"))
-    none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
-    known = known.select("sha", "scanned", F.coalesce("findings", none).alias("findings"))
-    found = (known if ledger is not None else fresh).where(F.size("findings") > 0).select(F.col("sha").alias("f_sha"), "findings")
-    found = found.select("f_sha", F.filter("findings", lambda x: F.array_contains(kinds, x["kind"])).alias("findings"))
+        found = known.where(F.size("findings") > 0).select(F.col("sha").alias("f_sha"), F.filter("findings", lambda x: F.array_contains(kinds, x["kind"])).alias("findings"))
     by_doc = rows.select("doc", "sha").join(found, F.col("sha") == F.col("f_sha"), "left")
     return by_doc.select(F.col("doc").alias(id_col), "sha", F.coalesce("findings", none).alias("findings")), known

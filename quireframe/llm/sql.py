@@ -49,13 +49,8 @@ a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, CASE WHE
 """
 
 OP5 = rf"""
-WITH {_SIZED},
-t AS (SELECT source, o, target, sum(size * (floor(pos * each + (u + o) / {float(mixing.OFFSETS)}::DOUBLE) - floor((pos - 1) * each + (u + o) / {float(mixing.OFFSETS)}::DOUBLE))) AS taken
-      FROM a, range(0, {mixing.OFFSETS}) x(o) GROUP BY source, o, target),
-b AS (SELECT source, o FROM (SELECT source, o, row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), o) AS k FROM t) WHERE k = 1)
-SELECT a.doc_id, a.size, a.source_size, a.target,
-       CAST(a.size * (floor(pos * each + (u + o) / {float(mixing.OFFSETS)}::DOUBLE) - floor((pos - 1) * each + (u + o) / {float(mixing.OFFSETS)}::DOUBLE)) AS BIGINT) AS taken
-FROM a JOIN b ON a.source IS NOT DISTINCT FROM b.source
+WITH {_SIZED}
+SELECT doc_id, size, source_size, target, CAST(size * (floor(pos * each + u) - floor((pos - 1) * each + u)) AS BIGINT) AS taken FROM a
 """
 
 
@@ -87,21 +82,29 @@ SELECT d.doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-_M = list(quality.SLACK)
+_M = list(quality.MEASURES)
+_CELLS = 1 << quality.DIGITS
+
+
+def _cell(rate: str) -> str:
+    dropped = f"greatest(length(bin({rate})) - {quality.DIGITS}, 0)"
+    return f"CAST({dropped} * {_CELLS} + ({rate} >> {dropped}) AS INTEGER)"
 
 
 def _fence(name: str, keys: str) -> str:
     group = f"GROUP BY {keys}, measure, bucket" if keys else "GROUP BY measure, bucket"
     part = f"{keys}, measure" if keys else "measure"
+    floor = lambda b: f"(CAST({b} % {_CELLS} AS BIGINT) << ({b} // {_CELLS}))"
     return f"""
-{name} AS (SELECT {part}, max(size) AS size, min(bucket) FILTER (WHERE 4 * upto >= 3 * size)
-             + {quality.SPREAD} * (min(bucket) FILTER (WHERE 4 * upto >= 3 * size) - min(bucket) FILTER (WHERE 4 * upto >= size)) AS fence
+{name} AS (SELECT {part}, size, {floor("high")} + {quality.SPREAD} * ({floor("high")} - {floor("mid")}) AS fence FROM (
+      SELECT {part}, max(size) AS size, min(bucket) FILTER (WHERE 10 * upto >= 5 * size) AS mid, min(bucket) FILTER (WHERE 10 * upto >= 9 * size) AS high
       FROM (SELECT {part}, bucket, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS size
-            FROM (SELECT {part}, bucket, count(*) AS n FROM u {group})) GROUP BY {part})"""
+            FROM (SELECT {part}, bucket, count(*) AS n FROM u {group})) GROUP BY {part}))"""
 
 
-def _share(a: str, b: str, name: str) -> str:
-    return f"CASE WHEN {b} > 0 THEN CAST(1000 * {a} // {b} AS INTEGER) ELSE 0 END AS {name}"
+def _rate(name: str) -> str:
+    a, b = quality.MEASURES[name]
+    return f"CASE WHEN {b} > 0 THEN CAST({quality.MILLION} * {a} // {b} AS BIGINT) ELSE 0 END AS {name}"
 
 
 OP10 = rf"""
@@ -118,16 +121,15 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 q AS (SELECT *, CAST(chars - blanks AS BIGINT) AS word_chars FROM m),
-s AS (SELECT *, {_share("n_symbols", "word_chars", "symbols")}, {_share("n_dup_lines", "n_lines", "dup_lines")},
-             {_share("n_repeat_words", "n_words", "repeats")}, {_share("n_capitals", "word_chars", "capitals")} FROM q),
-u AS ({" UNION ALL ".join(f"SELECT coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, '{x}' AS measure, {x} AS bucket FROM s" for x in _M)}),
+s AS (SELECT *, {", ".join(map(_rate, _M))} FROM q),
+u AS ({" UNION ALL ".join(f"SELECT coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, '{x}' AS measure, {_cell(x)} AS bucket FROM s" for x in _M)}),
 {_fence("fa", "lang, source")}, {_fence("fb", "lang")}, {_fence("fc", "")},
-th AS (SELECT fa.lang, fa.source, {", ".join(f"max(CASE WHEN measure = '{x}' THEN f END) + {quality.SLACK[x]} AS t_{x}" for x in _M)}
+th AS (SELECT fa.lang, fa.source, {", ".join(f"max(CASE WHEN measure = '{x}' THEN f END) AS t_{x}" for x in _M)}
        FROM (SELECT fa.lang, fa.source, fa.measure, CASE WHEN fa.size >= {quality.LEAST} THEN fa.fence WHEN fb.size >= {quality.LEAST} THEN fb.fence ELSE fc.fence END AS f
              FROM fa JOIN fb ON fa.lang = fb.lang AND fa.measure = fb.measure JOIN fc ON fa.measure = fc.measure) fa GROUP BY fa.lang, fa.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed,
-       NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND {" AND ".join(f"{x} <= t_{x}" for x in _M)} AS kept
+       NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND {" AND ".join(f"{quality.MILLION} * ({a} - {quality.ALLOW}) <= t_{x} * {b}" for x, (a, b) in quality.MEASURES.items())} AS kept
 FROM s JOIN th ON coalesce(s.lang, chr(0)) = th.lang AND coalesce(s.source, chr(0)) = th.source
 """
 

@@ -43,12 +43,19 @@ def test_mix_is_near_its_targets(spark):
     assert drawn.where("copies > 3 or copies < 0").count() == 0
     for r in drawn.groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
         assert r["taken"] == pytest.approx(r["target"], rel=0.01)
+    # No document is favoured: over many offsets each has its expected copies.
+    few = docs.where("doc_id < 60")
+    runs = [{r["doc"]["doc_id"]: (r["copies"], r["target"] / r["source_size"]) for r in mixing.mix(few, seed=s).collect()} for s in range(24)]
+    for i in range(60):
+        assert sum(r[i][0] for r in runs) / len(runs) == pytest.approx(runs[0][i][1], abs=0.35)
     again = {(r["doc"]["doc_id"], r["copies"]) for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {(r["doc"]["doc_id"], r["copies"]) for r in drawn.collect()}
 
 
 def test_mix_of_odd_rows(odd_docs, no_docs):
-    drawn = mixing.mix(odd_docs)
+    drawn = mixing.mix(odd_docs).cache()
+    by_source = {r["source"]: r for r in drawn.groupBy("doc.source").agg(F.sum("size").alias("s"), F.max("source_size").alias("z"), F.max("target").alias("t"), F.max("copies").alias("c")).collect()}
+    assert all(r["s"] == r["z"] and r["t"] <= 3 * r["z"] and r["c"] <= 3 for r in by_source.values()) and set(by_source) == {"a", "b", "c", None}
     assert drawn.count() == odd_docs.count() and drawn.where("size = 0 and source_size = 0 and copies > 0").count() == 0
     assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == 0
@@ -97,14 +104,21 @@ def test_ledger_scans_unseen_pairs_only(spark):
     third, after = secrets.scan(docs, ledger, rules=newer)
     assert {(r["doc_id"], str(r["findings"])) for r in third.collect()} == {(r["doc_id"], str(r["findings"])) for r in first.collect()}
     assert after.where(~F.array_contains("scanned", "hex@2")).count() == 0
+    twice, _ = secrets.scan(docs, ledger.unionByName(ledger))
+    assert twice.count() == docs.count() and {(r["doc_id"], str(r["findings"])) for r in twice.collect()} == {(r["doc_id"], str(r["findings"])) for r in first.collect()}
     more = spark.createDataFrame([(99, "token=abcdefghijklmnop")], "doc_id long, text string")
     fourth, grown = secrets.scan(more, ledger)
     assert grown.count() == ledger.count() + 1 and fourth.first()["findings"][0]["kind"] == "assign"
 
 
-def test_secrets_of_odd_rows(odd_docs, no_docs):
+def test_secrets_of_odd_rows(spark, odd_docs, no_docs):
     assert secrets.scan(odd_docs)[0].count() == odd_docs.count()
-    assert secrets.scan(no_docs)[0].count() == 0
+    assert secrets.scan(no_docs)[0].count() == 0 and secrets.scan(no_docs)[1].count() == 0
+    odd = spark.createDataFrame([(None, "AKIA" + "A1" * 8, "x"), (None, "AKIA" + "A1" * 8, "y"), (3, None, "z"), (4, "a " * 200_000 + "0" * 20, "z")], "doc_id long, text string, sha string")
+    got, ledger = secrets.scan(odd)
+    spans = sorted((str(r["doc_id"]), [(f["kind"], f["start"], f["end"]) for f in r["findings"]]) for r in got.collect())
+    assert spans == [("3", []), ("4", [("hex", 400_000, 400_020)]), ("None", [("access", 0, 20)]), ("None", [("access", 0, 20)])]
+    assert ledger.count() == 3
 
 
 def brute_repeats(text):
@@ -131,19 +145,64 @@ def test_quality_measures_equal_brute_force(spark, odd_docs):
         assert m["n_dup_lines"] == len(lines) - len(set(lines))
 
 
-def test_sketches_merge_and_thresholds_follow_their_group(spark, no_docs):
-    rows = [(i, "en" if i % 2 else "de", "s", i % 40) for i in range(1000)]
-    shared = spark.createDataFrame(rows, "doc long, lang string, source string, symbols int").selectExpr("*", "0 AS dup_lines", "0 AS repeats", "0 AS capitals")
-    cells = quality.sketches(shared)
-    halves = quality.sketches(shared.where("doc < 300")).unionByName(quality.sketches(shared.where("doc >= 300")))
-    assert quality.fences(cells, ["lang"]).exceptAll(quality.fences(halves, ["lang"])).count() == 0
-    whole = {r["measure"]: r["fence"] for r in quality.fences(cells, []).collect()}
-    assert whole["symbols"] == 29 + 3 * 20 and whole["repeats"] == 0
-    assert quality.thresholds(shared, least=501).where(F.col("t_symbols") != 89 + quality.SLACK["symbols"]).count() == 0
-    assert quality.judge(no_docs).count() == 0
+def rated(spark, rows):
+    """Rates in millionths of a table (doc, lang, source, symbols) without other faults."""
+    return spark.createDataFrame(rows, "doc long, lang string, source string, symbols long").selectExpr("*", "0L AS dup_lines", "0L AS repeats", "0L AS capitals")
 
 
-def test_quality_of_odd_rows(odd_docs):
+def test_sketches_merge_and_are_near_the_quantiles(spark):
+    rows = [(i, "en" if i % 2 else "de", "s", i * i % 70_001) for i in range(1000)]
+    shared = rated(spark, rows)
+    cells = quality.sketches(shared)
+    halves = quality.sketches(shared.where("doc < 300")).unionByName(quality.sketches(shared.where("doc >= 300")))
+    merge = lambda c: quality.fences(quality.merged(c, ["lang"]), ["lang"])
+    assert merge(cells).exceptAll(merge(halves)).count() == 0 and merge(cells).count() == 8
+    values = sorted(r[3] for r in rows)
+    mid, high = values[499], values[899]
+    (got,) = (r["fence"] for r in quality.fences(quality.merged(cells, []), []).collect() if r["measure"] == "symbols")
+    assert abs(got - (high + 3 * (high - mid))) <= (4 * high + 3 * mid) / 16
+    for x in (0, 1, 31, 32, 33, 63, 64, 1000, 999_999, 2**40):
+        (r,) = spark.createDataFrame([(x,)], "x long").select(quality.cell("x").alias("c")).select(quality.floor_of("c").alias("f")).collect()
+        assert r["f"] <= x < r["f"] * 17 / 16 + 1
+
+
+def test_thresholds_follow_their_group(spark):
+    rows = [(i, "en", "calm" if i % 2 else "busy", (i % 40) * (10 if i % 2 else 1000)) for i in range(1000)] + [(i, "de", f"s{i}", i) for i in range(1000, 1250)]
+    t = {(r["lang"], r["source"]): r["t_symbols"] for r in quality.thresholds(rated(spark, rows)).collect()}
+    assert t["en", "busy"] > 50 * t["en", "calm"] > 0
+    assert len({v for (lang, _), v in t.items() if lang == "de"}) == 1  # sources of one document take their language's
+    small = {(r["lang"], r["source"]): r["t_symbols"] for r in quality.thresholds(rated(spark, rows), least=2000).collect()}
+    assert len(set(small.values())) == 1
+
+
+def test_each_measure_rejects_what_is_unusual_in_its_group(spark):
+    """One text a measure, the same in two groups: unusual in the plain one, usual in the other."""
+    word = lambda i, k: f"w{i}x{k}"
+
+    def text(i, kind):
+        words = [word(i, k) for k in range(60)]
+        if kind == "symbols":
+            words[::4] = ["#$%"] * 15
+        if kind == "capitals":
+            words = [w.upper() for w in words]
+        if kind == "repeats":
+            words[30:42] = words[5:17]
+        lines = [" ".join(words[k : k + 6]) for k in range(0, 60, 6)]
+        if kind == "dup_lines":
+            lines += ["x y"] * 8
+        return "\n".join(lines)
+
+    kinds = list(quality.MEASURES)
+    rows = [(i, text(i, None), "en", "plain") for i in range(300)]
+    rows += [(1000 + 300 * j + i, text(i, k), "en", k) for j, k in enumerate(kinds) for i in range(300)]
+    rows += [(9000 + j, text(7000 + j, k), "en", "plain") for j, k in enumerate(kinds)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("not base_failed")
+    assert got.count() == len(rows)
+    assert {r["doc_id"] for r in got.where("not kept").collect()} == {9000, 9001, 9002, 9003}
+
+
+def test_quality_of_odd_rows(odd_docs, no_docs):
     got = quality.judge(odd_docs)
     assert got.count() == odd_docs.count() and got.where("kept is null or base_failed is null").count() == 0
     assert got.where("doc_id in (2, 3, 4) and not base_failed").count() == 0
+    assert quality.judge(no_docs).count() == 0
