@@ -169,8 +169,11 @@ def sampled(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, sampl
     place = F.xxhash64(col(id_col).cast("string"), F.lit("langid"))
     rows = docs.where(col(lang_col).isNotNull() & (fold_of(col(id_col)) != HELD_OUT))
     rows = rows.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"), place.alias("place"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).select(F.col("lang").alias("s_lang"), "size")
-    near = rows.join(sizes, F.col("lang") == F.col("s_lang")).where((F.col("place").cast("double") / 2.0**64 + 0.5) * F.col("size") <= 2.0 * sample)
+    sizes = stored(rows.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("size")), "language-sizes")
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    # At most LANGUAGES rows are broadcast.
+    near = rows.join(F.broadcast(sizes), F.col("lang") == F.col("s_lang")).where((F.col("place").cast("double") / 2.0**64 + 0.5) * F.col("size") <= 2.0 * sample)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", F.xxhash64("text")))
     return near.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "text")
 
@@ -179,10 +182,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """Learn from the rows of ``docs`` that have a language and are not held out."""
     learned = sampled(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample)
     counts = stored(count_items(learned, text_col="text", lang_col="lang"), "language-counts")
-    totals = {(r["lang"], r["n"]): r["total"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).limit(LANGUAGES * 6 + 1).collect()}
+    totals = {(r["lang"], r["n"]): r["total"] for r in counts.groupBy("lang", "n").agg(F.sum("times").alias("total")).collect()}
     langs = sorted({lang for lang, _ in totals})
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     share = max(1, len(langs))
     kept = F.when(F.col("n") == 0, min(WORDS_KEPT, WORDS_IN_ALL // share)).otherwise(min(NGRAMS_KEPT, NGRAMS_IN_ALL // share))
     rank = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("times"), "item"))

@@ -5,15 +5,22 @@ pass of a keyword automaton finds which keywords occur; a rule's regex runs only
 if one of its keywords does. Rules are ordered: a detection whose interval lies
 within that of a kept detection of an earlier rule, or of a longer one of the
 same rule, is suppressed. Base rules, the plain phrases, are counted in full
-before suppression and their labels always stay.
+before suppression and their labels always stay. Kept intervals that no other holds
+are held in order of their starts, so that suppression takes a search a detection.
 
-Defined results: null and empty texts have no words, no labels and score 0.
-Rows equal in id and text are separate rows of the result.
+Rules come from lists of fixed values: phrases written one by one, names of families
+crossed with their versions, and identifiers of the package data exchange form.
+
+Defined results: null and empty texts have no words, no labels and score 0. Of equal
+intervals the one of the earlier rule is kept, and of one rule's the earlier. Rows
+equal in id and text are separate rows of the result. Texts of any length are scanned
+whole. Other columns are never read, whatever their names. No documents give no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -108,7 +115,64 @@ PHRASES = (
     ("proprietary", r"proprietary and confidential|unauthori[sz]ed copying of this", ("proprietary", "copying of this"), 0.8),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", ("copyright",), 0.4),
     ("gpl", r"this program is free software you can redistribute it and or modify", ("free software you can",), 0.95),
-    ("apache-2.0", r"you may obtain a copy of the licen[cs]e at http www apache org licenses license 2 0", ("www apache org",), 1.0),
+    ("apache-2.0", r"you may obtain a copy of the licen[cs]e at https? www apache org licenses license 2 0", ("www apache org",), 1.0),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e", ("unless required by applicable law",), 0.95),
+    ("gpl", r"gnu general public licen[cs]e for more details", ("general public",), 0.9),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", ("general public",), 0.95),
+    ("lgpl", r"you should have received a copy of the gnu lesser general public licen[cs]e", ("lesser general public",), 0.95),
+    ("lgpl", r"this library is free software you can redistribute it and or modify", ("this library is free software",), 0.95),
+    ("agpl", r"you should have received a copy of the gnu affero general public licen[cs]e", ("affero",), 0.95),
+    ("agpl", r"remote network interaction use with the gnu general public licen[cs]e", ("remote network interaction",), 0.95),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies", ("this permission notice shall",), 0.95),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to", ("provided as is without warranty",), 0.85),
+    ("mit", r"expat licen[cs]e", ("expat",), 0.85),
+    ("mit-0", r"mit no attribution", ("mit no attribution",), 0.9),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source",), 0.95),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|authors?) (?:and contributors )?as is", ("this software is provided by the",), 0.9),
+    ("bsd-2-clause", r"bsd 2 clause(?: simplified)?(?: licen[cs]e)?", ("bsd 2 clause",), 0.9),
+    ("bsd-3-clause", r"bsd 3 clause(?: new or revised)?(?: licen[cs]e)?", ("bsd 3 clause",), 0.9),
+    ("bsd-4-clause", r"bsd 4 clause(?: original)?(?: licen[cs]e)?", ("bsd 4 clause",), 0.9),
+    ("0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", ("zero clause", "0bsd"), 0.9),
+    ("isc", r"isc style licen[cs]e", ("isc style",), 0.8),
+    ("zlib", r"altered source versions must be plainly marked as such", ("altered source versions",), 1.0),
+    ("libpng", r"libpng licen[cs]e", ("libpng licen",), 0.85),
+    ("ncsa", r"university of illinois ncsa open source licen[cs]e", ("ncsa open source",), 0.95),
+    ("postgresql", r"postgresql licen[cs]e", ("postgresql licen",), 0.9),
+    ("openssl", r"openssl licen[cs]e|this product includes software developed by the openssl project", ("openssl",), 0.9),
+    ("w3c", r"w3c software (?:notice and )?licen[cs]e", ("w3c software",), 0.9),
+    ("vim", r"vim licen[cs]e", ("vim licen",), 0.8),
+    ("ruby", r"ruby licen[cs]e", ("ruby licen",), 0.8),
+    ("perl", r"same terms as perl itself", ("same terms as perl",), 0.9),
+    ("json", r"the software shall be used for good not evil", ("used for good not evil",), 1.0),
+    ("icu", r"icu licen[cs]e", ("icu licen",), 0.8),
+    ("hpnd", r"historical permission notice and disclaimer", ("historical permission notice",), 0.95),
+    ("upl-1.0", r"universal permissive licen[cs]e", ("universal permissive",), 0.9),
+    ("blueoak", r"blue oak model licen[cs]e", ("blue oak model",), 0.9),
+    ("elastic", r"elastic licen[cs]e(?: 2 0)?", ("elastic licen",), 0.9),
+    ("commons-clause", r"commons clause(?: licen[cs]e)?(?: condition)?", ("commons clause",), 0.85),
+    ("hippocratic", r"hippocratic licen[cs]e", ("hippocratic",), 0.9),
+    ("openrail", r"(?:creative ml )?open ?rail(?: m| ?\+\+ ?m)?(?: licen[cs]e)?", ("openrail", "open rail"), 0.8),
+    ("odc-by", r"open data commons attribution licen[cs]e|odc by", ("open data commons attribution", "odc by"), 0.9),
+    ("pddl", r"public domain dedication and licen[cs]e|pddl", ("public domain dedication", "pddl"), 0.9),
+    ("ogl", r"open government licen[cs]e", ("open government licen",), 0.9),
+    ("ogl", r"open gaming licen[cs]e", ("open gaming licen",), 0.8),
+    ("fal", r"free art licen[cs]e|licence art libre", ("free art licen", "art libre"), 0.9),
+    ("gpl-classpath", r"classpath exception", ("classpath exception",), 0.8),
+    ("gpl-linking", r"(?:gcc runtime library|linking|font) exception", ("runtime library exception", "linking exception", "font exception"), 0.7),
+    ("proprietary", r"may not be (?:reproduced|copied|distributed|used) (?:in any form )?without (?:the )?(?:express |prior )?(?:written )?permission", ("may not be",), 0.7),
+    ("proprietary", r"for internal use only", ("internal use only",), 0.5),
+    ("proprietary", r"no part of this (?:publication|work|document|book) may be reproduced", ("no part of this",), 0.8),
+    ("proprietary", r"end user licen[cs]e agreement|eula", ("end user licen", "eula"), 0.7),
+    ("non-commercial", r"for (?:non commercial|noncommercial) (?:use|purposes) only|(?:non commercial|noncommercial) use only", ("commercial",), 0.7),
+    ("research-only", r"for (?:academic|research|educational) (?:use|purposes) only", ("use only", "purposes only"), 0.6),
+    ("public-domain", r"this work is in the public domain|no known copyright restrictions", ("public domain", "no known copyright"), 0.85),
+)
+# Identifiers of the package data exchange form, as normalised words, whose label is the words joined by dashes.
+SPDX = (
+    "mit", "mit 0", "isc", "zlib", "0bsd", "unlicense", "wtfpl", "beerware", "postgresql", "ncsa", "x11", "curl", "ntp", "json", "vim", "libpng",
+    "bsd 1 clause", "bsd 2 clause", "bsd 2 clause patent", "bsd 3 clause", "bsd 3 clause clear", "bsd 4 clause", "bsl 1.0", "apache 1.0", "apache 1.1", "apache 2.0",
+    "artistic 1.0", "artistic 2.0", "cc0 1.0", "cc by 4.0", "cc by sa 4.0", "cc by nc 4.0", "cc by nd 4.0", "cc by nc sa 4.0", "cc by nc nd 4.0", "ofl 1.1", "odbl 1.0", "upl 1.0",
+    "ms pl", "ms rl", "mulanpsl 2.0", "eupl 1.1", "eupl 1.2", "epl 1.0", "epl 2.0", "mpl 1.1", "mpl 2.0", "cddl 1.0", "cddl 1.1", "sspl 1.0", "busl 1.1", "elastic 2.0", "blueoak 1.0.0", "hpnd", "icu", "openssl", "ruby", "php 3.01", "python 2.0", "psf 2.0", "w3c", "zpl 2.1",
 )
 CC_PARTS = (("by", "attribution"), ("by nc", "attribution noncommercial"), ("by sa", "attribution sharealike"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
@@ -129,7 +193,9 @@ def signatures() -> tuple[Signature, ...]:
             out.append(Signature(f"{label}-or-later", rf"(?:{said}) or (?:\(?at your option\)? )?(?:any )?later(?: version)?", keys, 0.98))
             out.append(Signature(label, GRANTS.format(name=said), keys, 0.97))
             out.append(Signature(label, said, keys, 0.95))
+            out.append(Signature(label, rf"{stem}v{v.replace(' ', ' ?')}(?! ?[0-9])", (f"{stem}v",), 0.95))
             out.append(Signature(label, rf"spdx license identifier {stem} {v}(?: only| or later)?", ("spdx",), 1.0))
+    out += [Signature(_dashed(x), rf"spdx license identifier {x.replace('.', ' ')}(?! [0-9])", ("spdx license identifier",), 1.0) for x in SPDX]
     for short, long in CC_PARTS:
         for v in CC_VERSIONS:
             label = f"cc-{_dashed(short)}-{v.replace(' ', '.')}"
@@ -177,12 +243,16 @@ def detect(words: list[bytes]) -> list[tuple[int, int, int, bool]]:
             place = m.start()
             found.append((i, word, word + m[0].count(b" ") + 1, rule.base))
             at = m.end() if not rule.base else m.start() + 1
-    kept: list[tuple[int, int]] = []
+    # Starts and ends, both rising, of the kept intervals that no other holds.
+    starts: list[int] = []
+    ends: list[int] = []
     out = []
     for i, start, end, base in sorted(found, key=lambda x: (x[0], x[1] - x[2], x[1])):
-        inside = any(a <= start and end <= b for a, b in kept)
+        before = bisect_right(starts, start)
+        inside = before > 0 and ends[before - 1] >= end
         if not inside:
-            kept.append((start, end))
+            a, b = bisect_left(starts, start), bisect_right(ends, end)
+            starts[a:b], ends[a:b] = [start], [end]
         if base or not inside:
             out.append((i, start, end, not inside))
     return out
