@@ -75,27 +75,27 @@ def admitted(h: DataFrame, r: DataFrame) -> DataFrame:
     c = F.col
     cap = c("cap") * GIB
     capacity = reasons(
-        ("PRIVATE_OVER_CAP", c("private") + HOST_RESERVE > cap),
-        ("PHYSICAL_OVER_CAPACITY", c("physical") > c("total") - c("free_floor") * GIB),
-        ("GPU_OVER_CAPACITY", c("gpu") > c("gpu_cap")),
+        ("MODEL_PRIVATE_REQUIREMENT_EXCEEDS_PROJECT_CAP", c("private") + HOST_RESERVE > cap),
+        ("MODEL_PHYSICAL_REQUIREMENT_EXCEEDS_CAPACITY", c("physical") > c("total") - c("free_floor") * GIB),
+        ("MODEL_GPU_REQUIREMENT_EXCEEDS_CAPACITY", c("gpu") > c("gpu_cap")),
     )
     now = reasons(
-        ("PROJECTED_CAP", c("used") + c("private") + c("held_private") + HOST_RESERVE > cap),
-        ("PROJECTED_FREE_FLOOR", c("total") - c("used") - c("physical") - c("held_physical") < c("free_floor") * GIB),
-        ("PROJECTED_COMMIT_FLOOR", c("commit_limit") - c("used") - c("private") - c("held_private") < c("commit_floor") * GIB),
-        ("PROJECTED_GPU", (c("gpu_used") + c("gpu") + c("held_gpu") > c("gpu_cap")) | (c("gpu_total") - c("gpu_used") - c("gpu") - c("held_gpu") < c("gpu_reserve"))),
+        ("STAGE_PROJECTED_FAMILY_COMMIT_CAP", c("used") + c("private") + c("held_private") + HOST_RESERVE > cap),
+        ("STAGE_PROJECTED_PHYSICAL_FREE_FLOOR", c("total") - c("used") - c("physical") - c("held_physical") < c("free_floor") * GIB),
+        ("STAGE_PROJECTED_COMMIT_HEADROOM_FLOOR", c("commit_limit") - c("used") - c("private") - c("held_private") < c("commit_floor") * GIB),
+        ("STAGE_PROJECTED_GPU_CAP_OR_RESERVE", (c("gpu_used") + c("gpu") + c("held_gpu") > c("gpu_cap")) | (c("gpu_total") - c("gpu_used") - c("gpu") - c("held_gpu") < c("gpu_reserve"))),
     )
     decision = F.when(capacity != "", "CAPACITY_INSUFFICIENT").when(now != "", "WAIT").otherwise("ADMIT")
-    return x.select("request", "host", decision.alias("decision"), F.concat_ws(",", F.nullif(capacity, F.lit("")), F.nullif(now, F.lit(""))).alias("reasons"))
+    return x.select("request", "host", decision.alias("decision"), F.when(capacity != "", capacity).otherwise(now).alias("reasons"))
 
 
 @R.add(f"""WITH {_POLICY}, q AS ({REQUESTS}), h AS (SELECT host, sum(private) AS hp, sum(physical) AS hw, sum(gpu) AS hg FROM q WHERE waits GROUP BY host),
     x AS (SELECT q.*, p.* EXCLUDE (host), coalesce(hp, 0) AS hp, coalesce(hw, 0) AS hw, coalesce(hg, 0) AS hg FROM q JOIN p USING (host) LEFT JOIN h USING (host)),
-    y AS (SELECT request, host, concat_ws(',', CASE WHEN private + {HOST_RESERVE} > cap * {GIB} THEN 'PRIVATE_OVER_CAP' END, CASE WHEN physical > total - free_floor * {GIB} THEN 'PHYSICAL_OVER_CAPACITY' END,
-        CASE WHEN gpu > gpu_cap THEN 'GPU_OVER_CAPACITY' END) AS a, concat_ws(',', CASE WHEN used + private + hp + {HOST_RESERVE} > cap * {GIB} THEN 'PROJECTED_CAP' END,
-        CASE WHEN total - used - physical - hw < free_floor * {GIB} THEN 'PROJECTED_FREE_FLOOR' END, CASE WHEN commit_limit - used - private - hp < commit_floor * {GIB} THEN 'PROJECTED_COMMIT_FLOOR' END,
-        CASE WHEN gpu_used + gpu + hg > gpu_cap OR gpu_total - gpu_used - gpu - hg < gpu_reserve THEN 'PROJECTED_GPU' END) AS b FROM x)
-    SELECT request, host, CASE WHEN a <> '' THEN 'CAPACITY_INSUFFICIENT' WHEN b <> '' THEN 'WAIT' ELSE 'ADMIT' END AS decision, concat_ws(',', nullif(a, ''), nullif(b, '')) AS reasons FROM y""")
+    y AS (SELECT request, host, concat_ws(',', CASE WHEN private + {HOST_RESERVE} > cap * {GIB} THEN 'MODEL_PRIVATE_REQUIREMENT_EXCEEDS_PROJECT_CAP' END, CASE WHEN physical > total - free_floor * {GIB} THEN 'MODEL_PHYSICAL_REQUIREMENT_EXCEEDS_CAPACITY' END,
+        CASE WHEN gpu > gpu_cap THEN 'MODEL_GPU_REQUIREMENT_EXCEEDS_CAPACITY' END) AS a, concat_ws(',', CASE WHEN used + private + hp + {HOST_RESERVE} > cap * {GIB} THEN 'STAGE_PROJECTED_FAMILY_COMMIT_CAP' END,
+        CASE WHEN total - used - physical - hw < free_floor * {GIB} THEN 'STAGE_PROJECTED_PHYSICAL_FREE_FLOOR' END, CASE WHEN commit_limit - used - private - hp < commit_floor * {GIB} THEN 'STAGE_PROJECTED_COMMIT_HEADROOM_FLOOR' END,
+        CASE WHEN gpu_used + gpu + hg > gpu_cap OR gpu_total - gpu_used - gpu - hg < gpu_reserve THEN 'STAGE_PROJECTED_GPU_CAP_OR_RESERVE' END) AS b FROM x)
+    SELECT request, host, CASE WHEN a <> '' THEN 'CAPACITY_INSUFFICIENT' WHEN b <> '' THEN 'WAIT' ELSE 'ADMIT' END AS decision, CASE WHEN a <> '' THEN a ELSE b END AS reasons FROM y""")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admitted(hosts(spark, sf_dir), requests(spark, sf_dir))
 

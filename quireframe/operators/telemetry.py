@@ -60,7 +60,7 @@ def _closed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed(P.calls(spark, sf_dir), P.runs(spark, sf_dir).join(now, "run"))
 
 
-@R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED} WHERE "end" IS NOT NULL OR call % 49 = 0)
+@R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED})
     SELECT c.call, count(s.sample) AS samples, round(avg(cpu_pct), 4) AS cpu_avg, max(ram_used) AS ram_peak, round(avg(gpu_pct), 4) AS gpu_avg, max(gpu_pct) AS gpu_peak
     FROM c LEFT JOIN s ON s.run = c.run AND s.t BETWEEN c.start AND c.until GROUP BY c.call""")
 def call_sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,26 +107,31 @@ def model_request_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("role").agg(F.count("*").alias("rows"), F.count_distinct("sample").alias("samples"), F.max("engine_pct").alias("engine_peak"), F.max("dedicated_bytes").alias("vram_peak"), _avg("engine_pct", "engine_avg"))
 
 
-@R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED} WHERE "end" IS NOT NULL)
+@R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED})
     SELECT c.call, round(avg(g.engine_pct), 4) AS engine_avg, max(g.engine_pct) AS engine_peak, max(g.dedicated_bytes) AS vram_peak
     FROM c JOIN s ON s.run = c.run AND s.t BETWEEN c.start AND c.until JOIN ({P.PROCESS_GPU}) g ON g.sample = s.sample AND g.scope = 'tool_process' AND g.pid = c.pid GROUP BY c.call""")
 def call_gpu_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = P.process_gpu(spark, sf_dir).where("scope = 'tool_process'").select("sample", "pid", "engine_pct", "dedicated_bytes")
     points = P.samples(spark, sf_dir).select("sample", "run", "t").join(g, "sample")
-    spans = _closed_calls(spark, sf_dir).where(F.col("end").isNotNull()).select("call", "run", "pid", "start", "until")
+    spans = _closed_calls(spark, sf_dir).select("call", "run", "pid", "start", "until")
     hit = interval_join(points, spans, keys=["run", "pid"], at=epoch(F.col("t")), start=epoch(F.col("start")), end=epoch(F.col("until")), width=3600.0)
     return hit.groupBy("call").agg(_avg("engine_pct", "engine_avg"), F.max("engine_pct").alias("engine_peak"), F.max("dedicated_bytes").alias("vram_peak"))
 
 
-def counter_deltas(df: DataFrame, *, key: str, at: str, value: str) -> DataFrame:
-    """``df`` with ``delta``: the growth of a counter since the key's last row, falls count as 0, null for the first row."""
-    before = F.lag(value).over(W.partitionBy(key).orderBy(at, "sample"))
-    return df.withColumn("delta", F.when(before.isNotNull(), F.greatest(F.lit(0), F.col(value) - before)))
+def cpu_rates(df: DataFrame, *, keys: list[str], at: str, value: str) -> DataFrame:
+    """``df`` with ``rate``: a counter's growth per second since the last row of the same identity, falls and stops count as 0, null for the first."""
+    w = W.partitionBy(*keys).orderBy(at, "sample")
+    grown, passed = F.col(value) - F.lag(value).over(w), epoch(F.col(at)) - epoch(F.lag(at).over(w))
+    return df.withColumn("rate", F.when(grown.isNotNull(), F.when(passed > 0, F.greatest(F.lit(0.0), grown / passed)).otherwise(0.0)))
 
 
-@R.add(f"SELECT sample, pid, CASE WHEN b IS NOT NULL THEN greatest(0, ram_used - b) END AS delta FROM (SELECT *, lag(ram_used) OVER (PARTITION BY pid ORDER BY t, sample) AS b FROM ({P.SAMPLES}))")
+@R.add(f"""SELECT sample, pid, birth, CASE WHEN g IS NOT NULL THEN CASE WHEN s > 0 THEN round(greatest(0.0::DOUBLE, g / s), 6) ELSE 0.0::DOUBLE END END AS rate FROM (
+    SELECT sample, pid, birth, ram_used - lag(ram_used) OVER w AS g, (epoch_us(t) - lag(epoch_us(t)) OVER w) / 1000000.0::DOUBLE AS s
+    FROM (SELECT *, run AS birth FROM ({P.SAMPLES})) WINDOW w AS (PARTITION BY pid, birth ORDER BY t, sample))""")
 def cpu_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counter_deltas(P.samples(spark, sf_dir), key="pid", at="t", value="ram_used").select("sample", "pid", "delta")
+    """A process is its number and its birth (here the run); the counter stands for its processor seconds."""
+    s = P.samples(spark, sf_dir).withColumn("birth", F.col("run"))
+    return cpu_rates(s, keys=["pid", "birth"], at="t", value="ram_used").select("sample", "pid", "birth", F.round("rate", 6).alias("rate"))
 
 
 @R.add(f"SELECT pid, min(start) AS since, count(*) AS running FROM ({P.CALLS}) WHERE status = 'running' GROUP BY pid")

@@ -14,18 +14,28 @@ def epoch(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0)
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, *, keys: list[str], at: Column, start: Column, end: Column, width: float, how: str = "inner") -> DataFrame:
-    """Points within closed intervals, by an equi-join on ``keys`` and time buckets of ``width`` seconds.
+#: Bucket widths of an interval join grow by this factor, so many times.
+COARSER, LEVELS = 16, 4
 
-    ``at`` is a column of ``points``, ``start`` and ``end`` of ``intervals`` (all in seconds). The interval side is
-    repeated once per bucket that it touches, so ``width`` should be near the usual length. ``how`` is inner or left
-    semi; the result has the columns of both sides, ``keys`` once.
+
+def interval_join(points: DataFrame, intervals: DataFrame, *, keys: list[str], at: Column, start: Column, end: Column, width: float) -> DataFrame:
+    """Points within closed intervals, by an equi-join on ``keys`` and time buckets of ``width`` seconds and coarser ones.
+
+    ``at`` is a column of ``points``, ``start`` and ``end`` of ``intervals`` (all in seconds). An interval goes to the
+    finest level of which it touches at most COARSER + 1 buckets, a point to its bucket of every level, so that a long
+    interval costs no more rows than a short one. The result has the columns of both sides, ``keys`` once.
     """
-    p = points.withColumns({"__at": at, "__bucket": F.floor(at / width)})
-    touched = F.sequence(F.floor(start / width), F.floor(end / width))
-    i = intervals.where(start <= end).withColumns({"__start": start, "__end": end}).withColumn("__bucket", F.explode(touched))
-    joined = p.join(i, [*keys, "__bucket"]).where(F.col("__at").between(F.col("__start"), F.col("__end")))
-    return joined.drop("__at", "__bucket", "__start", "__end")
+    widths = [width * COARSER**k for k in range(LEVELS)]
+    level = F.lit(LEVELS - 1)
+    for k in reversed(range(LEVELS - 1)):
+        level = F.when(end - start <= COARSER * widths[k], k).otherwise(level)
+    size = F.lit(width) * F.pow(F.lit(COARSER), F.col("__level"))
+    p = points.withColumn("__at", at).withColumn("__cell", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("__at") / w).alias("bucket")) for k, w in enumerate(widths)])))
+    p = p.withColumns({"__level": F.col("__cell.level"), "__bucket": F.col("__cell.bucket")}).drop("__cell")
+    i = intervals.where(start <= end).withColumns({"__start": start, "__end": end, "__level": level.cast("int")})
+    i = i.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__start") / size), F.floor(F.col("__end") / size))))
+    joined = p.join(i, [*keys, "__level", "__bucket"]).where(F.col("__at").between(F.col("__start"), F.col("__end")))
+    return joined.drop("__at", "__level", "__bucket", "__start", "__end")
 
 
 def islands(df: DataFrame, *, keys: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:

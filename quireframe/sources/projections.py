@@ -71,13 +71,13 @@ RUNS = """SELECT user_id % 8 AS run, min(ts) AS started, CASE WHEN user_id % 8 %
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, run, job, role, worker_pid, cpu_pct, rss): the model workers seen with a sample."""
     s = samples(spark, sf_dir)
-    return s.where(F.col("sample") % 2 == 0).select(
+    return s.select(
         "sample", "run", (F.col("pid") % 12).alias("job"), F.element_at(F.array(F.lit("layout"), F.lit("formula"), F.lit("text")), (F.col("sample") % 3 + 1).cast("int")).alias("role"), F.col("pid").alias("worker_pid"), "cpu_pct", F.col("ram_used").alias("rss")
     )
 
 
 MODELS = f"""SELECT sample, run, pid % 12 AS job, ['layout', 'formula', 'text'][sample % 3 + 1] AS role, pid AS worker_pid, cpu_pct,
-    ram_used AS rss FROM ({SAMPLES}) WHERE sample % 2 = 0"""
+    ram_used AS rss FROM ({SAMPLES})"""
 
 
 def process_gpu(spark: SparkSession, sf_dir: str) -> DataFrame:
