@@ -121,18 +121,6 @@ def region_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_roles(P.regions(spark, sf_dir)).groupBy("role").agg(F.count("*").alias("regions"), F.count_distinct("page").alias("pages"))
 
 
-@R.add(f"""WITH {_REG} SELECT a.region AS child, max_by(b.region, (b.x1 - b.x0) * (b.y1 - b.y0) * 1000 - b.ord) AS owner FROM r a JOIN r b ON a.page = b.page AND a.region <> b.region
-    AND NOT (a.x0 = b.x0 AND a.y0 = b.y0 AND a.x1 = b.x1 AND a.y1 = b.y1) AND (b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1
-    OR 2 * (b.x1 - b.x0) >= 3 * (a.x1 - a.x0) AND b.x0 - 1 <= a.x0 AND b.y0 - 1 <= a.y0 AND b.x1 + 1 >= a.x1 AND b.y1 + 1 >= a.y1) AND a.sha % 2 = b.sha % 2 GROUP BY a.region""")
-def formula_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each box's largest holder with like content; a pixel of tolerance for holders half as wide again."""
-    r = P.regions(spark, sf_dir)
-    other = ~((F.col("a_x0") == F.col("b_x0")) & (F.col("a_y0") == F.col("b_y0")) & (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1")))
-    wide = 2 * (F.col("b_x1") - F.col("b_x0")) >= 3 * (F.col("a_x1") - F.col("a_x0"))
-    hit = pairs(r, r).where(other & (contains("b_", "a_") | (wide & contains("b_", "a_", 1))) & (F.col("a_sha") % 2 == F.col("b_sha") % 2))
-    return hit.groupBy(F.col("a_region").alias("child")).agg(F.max_by("b_region", F.struct(area("b_"), -F.col("b_ord"))).alias("owner"))
-
-
 @R.add(f"""WITH {_REG}, c AS (SELECT a.region AS caption, b.region AS figure, count(*) OVER (PARTITION BY a.region) AS n FROM r a JOIN r b ON a.page = b.page AND a.label = 'figure_title'
     AND b.label IN ('chart', 'image') AND 2 * b.x0 <= a.x0 + a.x1 AND a.x0 + a.x1 <= 2 * b.x1 AND abs(a.y0 - b.y1) <= 2 * (a.y1 - a.y0)) SELECT caption, figure FROM c WHERE n = 1""")
 def caption_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
