@@ -102,6 +102,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(b: pa.RecordBatch, text: int = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of some ``size`` bytes in the column ``text``, one row at least."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy())

@@ -262,6 +262,38 @@ def test_files_hold_what_was_written(spark, odd_docs, no_docs):
     assert token_store.index(spark, token_store.write(no_docs, tokenizer_path())).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns; then no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    stock = {"xx": "bar zim lor tuk fen gal".split(), "yy": "ostra velin madu kepo siri nul".split()}
+    rows = [(i, prose(rng, 40 + i % 30, stock["xx" if i % 2 else "yy"]), "xx" if i % 2 else "yy", f"s{i % 3}", 1, "a", 1) for i in range(80)]
+    leak = prose(rng, 30, stock["xx"])
+    rows += [rows[3], rows[3], (None, prose(rng, 50, stock["xx"]), None, None, None, None, None), (None, None, None, None, None, None, None), (200, "", "xx", "s1", 0, "", 0), (201, "12 ½", "xx", None, 0, "", 0)]
+    rows += [(202, prose(rng, 20, stock["yy"]) + " " + leak, "yy", "s1", 1, "b", 1), (203, prose(rng, 9_000, stock["yy"]), "yy", None, 1, "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bucket string, row int"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{i}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{i}")
+        assert docs.columns == columns
+        ids = [r["doc_id"] for r in docs.collect()]
+        assert not {200, 201} & set(ids) and (i < 1 or i == 3 or ids.count(3) == 1) and (i < 2 or 202 not in ids)
+        assert i == 3 or (None in ids and 203 in ids)  # the mixture may leave either out
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(map(str, ids))
+    starts = sorted((r["start"], r["n_tokens"]) for r in out)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    none = str(tmp_path / "none")
+    spark.createDataFrame([], schema).write.parquet(f"{none}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
