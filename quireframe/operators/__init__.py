@@ -1,5 +1,5 @@
 """Operators on regions, text, formulas, tables, publications, telemetry and jobs."""
 
-from . import assembly, drawing, formulas, jobs, markup, packages, policy, publish, rasters, regions, stats, telemetry, text, textbook
+from . import assembly, contracts, drawing, formulas, jobs, markup, packages, policy, publish, rasters, regions, stats, telemetry, text, textbook
 
-REGISTRIES = (telemetry.R, jobs.R, regions.R, assembly.R, rasters.R, drawing.R, stats.R, text.R, markup.R, publish.R, formulas.R, policy.R, packages.R, textbook.R)
+REGISTRIES = (telemetry.R, jobs.R, regions.R, assembly.R, rasters.R, drawing.R, stats.R, text.R, markup.R, publish.R, contracts.R, formulas.R, policy.R, packages.R, textbook.R)
