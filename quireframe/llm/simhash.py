@@ -39,7 +39,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -276,8 +276,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> Da
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, with the columns of ``docs``."""
     found = grouped(docs, id_col=id_col, text_col=text_col, **options)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc").alias("b_doc"), F.col("thash").alias("b_hash"))).alias("b")).select("b.b_doc", "b.b_hash")
-    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("k_doc"), F.xxhash64(col(text_col)).alias("k_hash"))
-    rows = rows.join(best, F.col("k_doc").eqNullSafe(F.col("b_doc")) & (F.col("k_hash") == F.col("b_hash")), "left_semi")
-    repeat = F.row_number().over(W.partitionBy("k_doc", "k_hash").orderBy("k_hash"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), F.col("doc").alias("doc"), F.col("thash").alias("thash"))).alias("b")).select("b.doc", "b.thash")
+
+    def keys(doc: Column, thash: Column) -> list[Column]:
+        """Without nulls, so that the join deals rows out as the window wants them."""
+        return [F.coalesce(doc.cast("string"), F.lit("")).alias("k_doc"), doc.isNull().alias("k_null"), thash.alias("k_hash")]
+
+    names = ["k_doc", "k_null", "k_hash"]
+    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *keys(col(id_col), F.xxhash64(col(text_col))))
+    rows = rows.join(best.select(*keys(F.col("doc"), F.col("thash"))), names, "left_semi")
+    repeat = F.row_number().over(W.partitionBy(*names).orderBy("k_hash"))
     return rows.withColumn("n", repeat).where("n = 1").select("row.*")
