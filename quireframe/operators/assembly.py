@@ -166,6 +166,17 @@ def math_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy(F.col("a_region").alias("region")).agg(F.count("*").alias("n"), F.bool_and(covers).alias("covers"), F.min("b_region").alias("formula")).where("n = 1 AND covers").select("region", "formula")
 
 
+@R.add(f"""WITH {_READ} SELECT f.region, f.region || '__text_fallback' AS fallback FROM r f WHERE f.label IN ({_F}) AND f.text = '' AND NOT EXISTS (SELECT 1 FROM r t WHERE t.label IN ({_T})
+    AND t.page = f.page AND 100 * greatest(0, least(t.x1, f.x1) - greatest(t.x0, f.x0)) * greatest(0, least(t.y1, f.y1) - greatest(t.y0, f.y0)) >= 98 * (f.x1 - f.x0) * (f.y1 - f.y0))""")
+def formula_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas that gave nothing and that no text box covers by 98% become text."""
+    r = read_regions(spark, sf_dir)
+    failed = r.where(F.col("label").isin(*FORMULA_LABELS) & (F.col("text") == ""))
+    covered = pairs(failed, r.where(F.col("label").isin(*TEXT_LABELS))).where(100 * overlap("a_", "b_") >= 98 * area("a_"))
+    lost = failed.join(covered.select(F.col("a_region").alias("region")).distinct(), "region", "left_anti")
+    return lost.select("region", F.concat("region", F.lit("__text_fallback")).alias("fallback"))
+
+
 def duplicate_text(regions: DataFrame) -> DataFrame:
     """(region, retained): text that a retained box around it, 95% of its area, already has.
 

@@ -124,3 +124,10 @@ def progress_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.unix_seconds(F.col("created").cast("timestamp")) * 1000000 + F.col("job")).cast("double")
     j = P.jobs(spark, sf_dir).select("workspace", at.alias("at"), "state")
     return j.groupBy("workspace").agg(F.max("at").alias("updated"), F.max_by("state", "at").alias("state"))
+
+
+@R.add(f"SELECT dedupe, job FROM (SELECT dedupe, job, row_number() OVER (PARTITION BY dedupe ORDER BY created DESC, job) AS k FROM ({P.JOBS}) WHERE state = 'SUCCEEDED') WHERE k = 1")
+def newest_succeeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest job that succeeded, by the digest of its source."""
+    done = P.jobs(spark, sf_dir).where("state = 'SUCCEEDED'")
+    return done.groupBy("dedupe").agg(F.max_by("job", F.struct("created", -F.col("job"))).alias("job"))

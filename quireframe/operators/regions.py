@@ -132,17 +132,6 @@ def caption_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy(F.col("a_region").alias("caption")).agg(F.count("*").alias("n"), F.min("b_region").alias("figure")).where("n = 1").drop("n")
 
 
-@R.add(f"""WITH {_REG} SELECT f.region, f.region || '__text_fallback' AS fallback FROM r f WHERE f.label IN ({_F}) AND f.ord % 2 = 0 AND NOT EXISTS (SELECT 1 FROM r t WHERE t.label IN ({_T})
-    AND t.page = f.page AND 100 * greatest(0, least(t.x1, f.x1) - greatest(t.x0, f.x0)) * greatest(0, least(t.y1, f.y1) - greatest(t.y0, f.y0)) >= 98 * (f.x1 - f.x0) * (f.y1 - f.y0))""")
-def formula_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed formulas (here those of even order) that no text box covers by 98% become text."""
-    r = P.regions(spark, sf_dir)
-    failed = r.where(F.col("label").isin(*FORMULA_LABELS) & (F.col("ord") % 2 == 0))
-    covered = pairs(failed, r.where(F.col("label").isin(*TEXT_LABELS))).where(100 * overlap("a_", "b_") >= 98 * area("a_"))
-    lost = failed.join(covered.select(F.col("a_region").alias("region")).distinct(), "region", "left_anti")
-    return lost.select("region", F.concat("region", F.lit("__text_fallback")).alias("fallback"))
-
-
 @R.add(f"""WITH {_REG} SELECT o_orderkey AS page, CASE WHEN count(r.region) = 0 THEN 'NO_LAYOUT_REGIONS_TEXT_FALLBACK_REVIEW' ELSE 'IMAGE_ONLY_PAGE_TEXT_FALLBACK_REVIEW' END AS reason FROM orders LEFT JOIN r ON r.page = o_orderkey
     GROUP BY o_orderkey HAVING count(CASE WHEN label IN ({_F}, {_T}, 'table', 'algorithm') THEN 1 END) = 0""")
 def page_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +144,12 @@ def page_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""WITH {_REG} SELECT a.region FROM r a WHERE a.label IN ('chart', 'image') AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page = a.page AND b.region <> a.region AND least(a.x1, b.x1) > greatest(a.x0, b.x0)
-    AND least(a.y1 + 5, b.y1) > greatest(a.y1, b.y0))""")
+    AND least(a.y1 + greatest(3, least(40, (a.y1 - a.y0) // 6)), b.y1) > greatest(a.y1, b.y0))""")
 def figure_edges_free(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures that may grow five rows down: no other box is in the strip."""
+    """Figures that may grow down by a sixth of their height, 3 rows at least and 40 at most: no other box is in the strip."""
     r = P.regions(spark, sf_dir)
     figures = r.where("label in ('chart', 'image')")
-    strip = (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")) & (F.least(F.col("a_y1") + 5, F.col("b_y1")) > F.greatest("a_y1", "b_y0"))
+    strip = (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")) & (F.least(F.col("a_y1") + F.greatest(F.lit(3), F.least(F.lit(40), F.expr("(a_y1 - a_y0) div 6"))), F.col("b_y1")) > F.greatest("a_y1", "b_y0"))
     blocked = pairs(figures, r).where(strip).select(F.col("a_region").alias("region")).distinct()
     return figures.join(blocked, "region", "left_anti").select("region")
 

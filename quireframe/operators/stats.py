@@ -36,11 +36,21 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("""SELECT event_type, max(n) AS n, max(CASE WHEN k = greatest(0, least(n - 1, CAST(round_even(0.95 * n, 0) AS BIGINT) - 1)) + 1 THEN value END) AS p95, quantile_cont(value, 0.5) AS median, max(value) AS most
     FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type""")
 def p95_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value at rank round-half-even(0.95 n), no interpolation."""
+    """The value at rank round-half-even(0.95 n), no interpolation.
+
+    Values are counted in cells of one unit first; only the cell that holds the rank is sorted, so that few keys do not
+    mean few tasks.
+    """
+    e = P.table(spark, sf_dir, "events").select("event_type", "value", F.floor("value").alias("cell"))
+    cells = e.groupBy("event_type", "cell").agg(F.count("*").alias("c"))
     w = W.partitionBy("event_type")
-    e = P.table(spark, sf_dir, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
+    upto = F.sum("c").over(w.orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
+    cells = cells.select("event_type", "cell", upto.alias("upto"), (upto - F.col("c")).alias("before"), F.sum("c").over(w).alias("n"))
     at = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.bround(0.95 * F.col("n"), 0).cast("long") - 1)) + 1
-    return e.groupBy("event_type").agg(F.max("n").alias("n"), F.max(F.when(F.col("k") == at, F.col("value"))).alias("p95"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("most"))
+    home = cells.withColumn("at", at).where("before < at AND at <= upto").select("event_type", "cell", (F.col("at") - F.col("before")).alias("k"))
+    inside = e.join(home, ["event_type", "cell"]).withColumn("r", F.row_number().over(W.partitionBy("event_type", "cell").orderBy("value"))).where("r = k")
+    most = e.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("most"))
+    return most.join(inside.select("event_type", F.col("value").alias("p95")), "event_type").select("event_type", "n", "p95", "median", "most")
 
 
 @R.add("SELECT sha, n FROM (SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1) ORDER BY n DESC, sha LIMIT 20")
@@ -74,12 +84,12 @@ def extension_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "pages").groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
 
 
-@R.add("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY source")
+@R.add("SELECT source, doc_id // 50 AS folder, sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text) || chr(10), '' ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY ALL")
 def directory_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest over (path, content digest) in order of path."""
-    g = P.table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\x00"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\n")).alias("line"))
+    """One digest over (path, content digest) in order of path; a folder has fifty ids of a source at most."""
+    g = P.table(spark, sf_dir, "documents").select("source", F.expr("doc_id div 50").alias("folder"), "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\x00"), F.sha2(F.col("text").cast("binary"), 256), F.lit("\n")).alias("line"))
     folded = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "")
-    return g.groupBy("source").agg(folded.alias("all"), F.count("*").alias("files")).select("source", F.sha2(F.col("all").cast("binary"), 256).alias("fingerprint"), "files")
+    return g.groupBy("source", "folder").agg(folded.alias("all"), F.count("*").alias("files")).select("source", "folder", F.sha2(F.col("all").cast("binary"), 256).alias("fingerprint"), "files")
 
 
 @R.add("""SELECT count(*) AS occurrences, count(DISTINCT text) AS payloads, count(*) - count(DISTINCT text) AS duplicates, max(n) AS most FROM (SELECT text, count(*) OVER (PARTITION BY text) AS n FROM documents)""")

@@ -160,11 +160,12 @@ def run_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("run", F.when((F.col("state") == "running") & (age > 5), "interrupted").otherwise(F.col("state")).alias("state"))
 
 
-@R.add(f"""WITH o AS (SELECT DISTINCT job, role FROM ({P.MODELS})), c AS (SELECT DISTINCT job, role FROM ({P.MODELS}) WHERE sample % 5 = 0)
-    SELECT j.job, o.role, j.state FROM o JOIN ({P.JOBS}) j ON j.job = o.job AND j.state IN ('QUEUED', 'RUNNING') WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.job = o.job AND c.role = o.role AND o.job % 2 = 0)""")
+@R.add(f"""WITH m AS (SELECT m.job, m.role, s.t FROM ({P.MODELS}) m JOIN ({P.SAMPLES}) s ON s.sample = m.sample), o AS (SELECT job, role, max(t) AS last FROM m GROUP BY job, role), n AS (SELECT max(t) AS now FROM m)
+    SELECT j.job, o.role, j.state FROM o JOIN n ON o.last >= n.now - INTERVAL 12 HOUR JOIN ({P.JOBS}) j ON j.job = o.job AND j.state IN ('QUEUED', 'RUNNING')""")
 def worker_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = P.models(spark, sf_dir)
-    opened = m.select("job", "role").distinct()
-    ended = m.where("sample % 5 = 0 AND job % 2 = 0").select("job", "role").distinct()
+    """Sessions of active jobs, by job and role, that have not closed: a worker has been seen in the last twelve hours."""
+    seen = P.models(spark, sf_dir).select("sample", "job", "role").join(P.samples(spark, sf_dir).select("sample", "t"), "sample")
+    last = seen.groupBy("job", "role").agg(F.max("t").alias("last"))
+    now = last.agg(F.max("last").alias("now")).first()["now"]
     active = P.jobs(spark, sf_dir).where(F.col("state").isin("QUEUED", "RUNNING")).select("job", "state")
-    return opened.join(ended, ["job", "role"], "left_anti").join(active, "job").select("job", "role", "state")
+    return last.where(F.col("last") >= F.lit(now) - F.expr("interval 12 hours")).join(active, "job").select("job", "role", "state")

@@ -44,6 +44,21 @@ def islands(df: DataFrame, *, keys: list[str], order: list[str], breaks: Column,
     return df.withColumn("__break", breaks).withColumn(name, F.sum(F.when(F.col("__break"), 1).otherwise(0)).over(w)).drop("__break")
 
 
+def numbered(df: DataFrame, key: str, order: str, *, width: int = 1 << 16, name: str = "number") -> DataFrame:
+    """``df`` with the place of each row in its key, by a whole number ``order``; no key meets in one task.
+
+    Rows are numbered within ranges of ``width`` and shifted by the counts of the ranges before; the window over counts
+    has a row per range.
+    """
+    ranged = df.withColumn("__range", F.floor(F.col(order) / width))
+    counts = ranged.groupBy(key, "__range").agg(F.count("*").alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__at"), ahead.alias("__ahead"))
+    within = F.row_number().over(W.partitionBy(key, "__range").orderBy(order))
+    placed = ranged.withColumn("__within", within).join(shifts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    return placed.withColumn(name, F.col("__ahead") + F.col("__within")).drop("__range", "__key", "__at", "__ahead", "__within")
+
+
 def once_per_key(df: DataFrame, keys: list[str], expensive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply ``expensive`` to the distinct keys and join its columns back: model calls are paid once per content."""
     done = expensive(df.select(*keys).distinct())
