@@ -66,6 +66,17 @@ def preflight(archive: zipfile.ZipFile, size: int, limits: Limits) -> list[str]:
     return found + [f"{what}_TOO_LARGE" for what, n, limit in totals if n > limit]
 
 
+# What the main part's type says, and what its relationship's type ends with.
+MAIN_TYPE, MAIN_RELATION = "wordprocessingml.document.main+xml", "/officeDocument"
+
+
+def main_part_problems(own: dict[str, str], related: list[tuple]) -> list[str]:
+    """The main part needs a type of its own and an internal relationship of the package."""
+    declared = MAIN_TYPE in (own.get(REQUIRED[2]) or "")
+    reached = any(owner in ("", ".") and (kind or "").endswith(MAIN_RELATION) and part == REQUIRED[2] for owner, _, kind, _, _, part in related)
+    return ["MAIN_PART_NOT_DECLARED"] * (not declared) + ["MAIN_PART_NOT_RELATED"] * (not reached)
+
+
 def content_types(archive: zipfile.ZipFile) -> tuple[dict[str, str], dict[str, str]]:
     """By part, and by extension where a part has none of its own."""
     root = ET.fromstring(archive.read(REQUIRED[0]))
@@ -198,9 +209,12 @@ def opened(data: bytes | None, limits: Limits = Limits()) -> tuple:
         if problems:
             return [], [], [], problems
         own, default = content_types(archive)
+        related = relationships(archive)
+        if problems := main_part_problems(own, related):
+            return [], [], [], problems
         members = [(i.filename, member_kind(i.filename), i.file_size, i.compress_size, own.get(i.filename, default.get(i.filename.rpartition(".")[2].lower()))) for i in archive.infolist()]
         body = ET.fromstring(archive.read(REQUIRED[2])).find("{*}body")
-        return members, relationships(archive), [] if body is None else body_blocks(body), [] if body is not None else ["MISSING_BODY"]
+        return members, related, [] if body is None else body_blocks(body), [] if body is not None else ["MISSING_BODY"]
     except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, NotImplementedError, EOFError, OSError, RuntimeError) as e:
         return [], [], [], [f"INVALID_PACKAGE:{type(e).__name__}"]
 
@@ -247,8 +261,8 @@ def build(paragraphs: list[tuple[str, str]]) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f'<w:p><w:pPr><w:pStyle w:val={quoteattr(s)}/></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in paragraphs)
     parts = {
-        REQUIRED[0]: '<Types xmlns="t"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="rels"/><Override PartName="/word/document.xml" ContentType="main"/></Types>',
-        REQUIRED[1]: '<Relationships xmlns="r"><Relationship Id="rId1" Type="officeDocument" Target="word/document.xml"/></Relationships>',
+        REQUIRED[0]: '<Types xmlns="t"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="rels"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        REQUIRED[1]: '<Relationships xmlns="r"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
         REQUIRED[2]: f"<w:document {w}><w:body>{body}</w:body></w:document>",
     }
     out = io.BytesIO()

@@ -22,8 +22,8 @@ W = 'xmlns:w="w" xmlns:m="m" xmlns:mc="mc" xmlns:a="a" xmlns:r="r"'
 
 def zipped(body: str, **more: str) -> bytes:
     parts = {
-        "[Content_Types].xml": '<Types><Default Extension="PNG" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="main"/></Types>',
-        "_rels/.rels": '<Relationships><Relationship Id="r1" Type="doc" Target="word/document.xml"/></Relationships>',
+        "[Content_Types].xml": '<Types><Default Extension="PNG" ContentType="image/png"/><Override PartName="/word/document.xml" ContentType="x/wordprocessingml.document.main+xml"/></Types>',
+        "_rels/.rels": '<Relationships><Relationship Id="r1" Type="x/officeDocument" Target="word/document.xml"/></Relationships>',
         "word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>",
         **more,
     }
@@ -34,6 +34,13 @@ def zipped(body: str, **more: str) -> bytes:
     return out.getvalue()
 
 
+def test_main_part_has_to_be_declared_and_related():
+    types = '<Types><Override PartName="/word/document.xml" ContentType="main"/></Types>'
+    assert K.opened(zipped("", **{"[Content_Types].xml": types}))[3] == ["MAIN_PART_NOT_DECLARED"]
+    outside = '<Relationships><Relationship Id="r1" Type="x/officeDocument" Target="word/document.xml" TargetMode="External"/></Relationships>'
+    assert K.opened(zipped("", **{"_rels/.rels": outside}))[3] == ["MAIN_PART_NOT_RELATED"]
+
+
 def test_blocks_of_a_package():
     body = (
         '<w:p><w:pPr><w:pStyle w:val="H1"/><w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr></w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r><w:del><w:r><w:t>no</w:t></w:r></w:del><w:ins><w:r><w:t>c</w:t></w:r></w:ins></w:p>'
@@ -53,7 +60,7 @@ def test_blocks_of_a_package():
 def test_members_and_relationships():
     rels = '<Relationships><Relationship Id="a" Type="t" Target="media/i.png"/><Relationship Id="b" Type="t" Target="../../x"/><Relationship Id="c" Type="t" Target="http://x" TargetMode="External"/></Relationships>'
     members, found, _, _ = K.opened(zipped("", **{"word/_rels/document.xml.rels": rels, "word/media/i.png": "xx"}))
-    assert ("word/media/i.png", "media", 2, 2, "image/png") in members and any(m[0] == "word/document.xml" and m[4] == "main" for m in members)
+    assert ("word/media/i.png", "media", 2, 2, "image/png") in members and any(m[0] == "word/document.xml" and m[4].endswith("main+xml") for m in members)
     assert {(r[0], r[1], r[4], r[5]) for r in found} == {("", "r1", False, "word/document.xml"), ("word/document.xml", "a", False, "word/media/i.png"), ("word/document.xml", "b", False, None), ("word/document.xml", "c", True, None)}
 
 
