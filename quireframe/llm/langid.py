@@ -46,6 +46,8 @@ NGRAMS_KEPT, NGRAMS_IN_ALL = 8_000, 160_000
 LANGUAGES = 1_000
 #: Cost, in log10, of what a language has never shown, below its rarest kept item.
 PENALTY = 1.5
+#: Bytes of text worked at a time, which bounds what a Python worker takes.
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -142,7 +144,7 @@ def count_items(docs: DataFrame, *, text_col: str, lang_col: str) -> DataFrame:
     picked = docs.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in (s for b in batches for s in slices(b)):
+        for s in (s for b in batches for s in slices(b, size=SLICE)):
             words, langs = Words(s.column(1)), s.column(0).dictionary_encode()
             lang = langs.indices.to_numpy()[words.text]
             pair, times = np.unique(lang.astype(np.int64) * (len(words.size) or 1) + words.which, return_counts=True)
@@ -220,7 +222,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         model = shared.value
         n = len(model.langs)
         names = pa.array([*model.langs, UNDETERMINED])
-        for s in (s for b in batches for s in slices(b)):
+        for s in (s for b in batches for s in slices(b, size=SLICE)):
             words = Words(s.column(1))
             count = np.bincount(words.text, minlength=s.num_rows)
             lang, score = np.full(s.num_rows, n), np.zeros(s.num_rows)
