@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..sources import projections as P
-from .regions import FORMULA_LABELS, TEXT_LABELS, area, contains, overlap, pairs
+from .regions import FORMULA_LABELS, TEXT_LABELS, area, contains, overlap, touching
 
 R = Registry()
 _F = ", ".join(f"'{x}'" for x in FORMULA_LABELS)
@@ -47,7 +47,7 @@ def contained(regions: DataFrame, key: Column) -> DataFrame:
     r = regions.withColumn("key", key)
     same = (F.col("a_x0") == F.col("b_x0")) & (F.col("a_y0") == F.col("b_y0")) & (F.col("a_x1") == F.col("b_x1")) & (F.col("a_y1") == F.col("b_y1"))
     wide = 2 * (F.col("b_x1") - F.col("b_x0")) >= 3 * (F.col("a_x1") - F.col("a_x0"))
-    hit = pairs(r.where("key <> ''"), r).where(~same & (contains("b_", "a_") | (wide & contains("b_", "a_", 1))) & F.col("b_key").contains(F.col("a_key")))
+    hit = touching(r.where("key <> ''"), r, 1).where(~same & (contains("b_", "a_") | (wide & contains("b_", "a_", 1))) & F.col("b_key").contains(F.col("a_key")))
     return hit.groupBy(F.col("a_region").alias("child")).agg(F.max_by("b_region", F.struct(area("b_"), -F.col("b_ord"))).alias("owner"))
 
 
@@ -92,7 +92,7 @@ def overhang_blockers(hanging: DataFrame, texts: DataFrame) -> DataFrame:
 
 def hanging_pairs(regions: DataFrame) -> DataFrame:
     formulas, texts = (regions.where(F.col("label").isin(*labels)) for labels in (FORMULA_LABELS, TEXT_LABELS))
-    return pairs(formulas, texts).where(_overhangs("a_", "b_") & body_shared("a_", "b_"))
+    return touching(formulas, texts, 2).where(_overhangs("a_", "b_") & body_shared("a_", "b_"))
 
 
 _HANG = f"""f AS (SELECT * FROM r WHERE label IN ({_F})), t AS (SELECT * FROM r WHERE label IN ({_T})),
@@ -119,7 +119,7 @@ def prose_parents(regions: DataFrame, key: Column) -> DataFrame:
     formulas, texts = (regions.where(F.col("label").isin(*labels)) for labels in (FORMULA_LABELS, TEXT_LABELS))
     hidden = contained(formulas, key).select(F.col("child").alias("region"))
     active = formulas.where("text <> ''").join(hidden, "region", "left_anti")
-    near = pairs(active, texts)
+    near = touching(active, texts, 2)
     holds = contains("b_", "a_", 2)
     met = near.where(overlap("a_", "b_") > 0)
     hanging = met.where(_overhangs("a_", "b_") & body_shared("a_", "b_") & (F.col("b_ord") < F.col("a_ord")))
@@ -151,7 +151,7 @@ def formula_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text that meets an accepted table, one with content."""
     r = read_regions(spark, sf_dir)
-    met = pairs(r.where(F.col("label").isin(*TEXT_LABELS)), r.where("label = 'table' AND text <> ''")).where(overlap("a_", "b_") > 0)
+    met = touching(r.where(F.col("label").isin(*TEXT_LABELS)), r.where("label = 'table' AND text <> ''")).where(overlap("a_", "b_") > 0)
     return met.select(F.col("a_region").alias("region")).distinct()
 
 
@@ -161,7 +161,7 @@ def table_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def math_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text boxes whose output is that of the one formula box with the same reading, if this covers 98% of them."""
     r = read_regions(spark, sf_dir).where("text <> ''")
-    met = pairs(r.where(F.col("label").isin(*TEXT_LABELS)), r.where(F.col("label").isin(*FORMULA_LABELS))).where((overlap("a_", "b_") > 0) & (F.col("a_text") == F.col("b_text")))
+    met = touching(r.where(F.col("label").isin(*TEXT_LABELS)), r.where(F.col("label").isin(*FORMULA_LABELS))).where((overlap("a_", "b_") > 0) & (F.col("a_text") == F.col("b_text")))
     covers = 100 * overlap("a_", "b_") >= 98 * area("a_")
     return met.groupBy(F.col("a_region").alias("region")).agg(F.count("*").alias("n"), F.bool_and(covers).alias("covers"), F.min("b_region").alias("formula")).where("n = 1 AND covers").select("region", "formula")
 
@@ -172,7 +172,7 @@ def formula_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas that gave nothing and that no text box covers by 98% become text."""
     r = read_regions(spark, sf_dir)
     failed = r.where(F.col("label").isin(*FORMULA_LABELS) & (F.col("text") == ""))
-    covered = pairs(failed, r.where(F.col("label").isin(*TEXT_LABELS))).where(100 * overlap("a_", "b_") >= 98 * area("a_"))
+    covered = touching(failed, r.where(F.col("label").isin(*TEXT_LABELS))).where(100 * overlap("a_", "b_") >= 98 * area("a_"))
     lost = failed.join(covered.select(F.col("a_region").alias("region")).distinct(), "region", "left_anti")
     return lost.select("region", F.concat("region", F.lit("__text_fallback")).alias("fallback"))
 
@@ -235,7 +235,7 @@ def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What to paint over in a text's crop of 300 by 100 pixels: the shared box, its start rounded down and its end up, both inclusive."""
     r = P.regions(spark, sf_dir)
-    m = pairs(r.where(F.col("label").isin(*TEXT_LABELS)), r.where(F.col("label").isin(*FORMULA_LABELS))).where(overlap("a_", "b_") > 0)
+    m = touching(r.where(F.col("label").isin(*TEXT_LABELS)), r.where(F.col("label").isin(*FORMULA_LABELS))).where(overlap("a_", "b_") > 0)
     m = m.selectExpr("a_region AS region", "b_region AS formula", "greatest(a_x0, b_x0) - a_x0 AS l", "greatest(a_y0, b_y0) - a_y0 AS u", "least(a_x1, b_x1) - a_x0 AS r", "least(a_y1, b_y1) - a_y0 AS d", "a_x1 - a_x0 AS w", "a_y1 - a_y0 AS h")
     return m.selectExpr("region", "formula", "greatest(0, l * 300 div w) AS px0", "greatest(0, u * 100 div h) AS py0", "least(299, (r * 300 + w - 1) div w - 1) AS px1", "least(99, (d * 100 + h - 1) div h - 1) AS py1")
 

@@ -46,6 +46,30 @@ def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, (F.col("a_page") == F.col("b_page")) & (F.col("a_region") != F.col("b_region")))
 
 
+#: Side of the cells that boxes are dealt into before they meet.
+CELL = 64
+
+
+def touching(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
+    """As pairs(), but only boxes that meet, borders included, once b's have grown by ``slack`` on every side.
+
+    Boxes meet by page and cell, so that a crowded page is no quadratic group, and a pair is kept in the cell of the
+    first corner that both share, which is one.
+    """
+    def dealt(df: DataFrame, prefix: str, grown: int) -> DataFrame:
+        span = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - grown) / CELL), F.floor((F.col(hi) + grown) / CELL)))
+        cells = df.withColumn("__cx", span("x0", "x1")).withColumn("__cy", span("y0", "y1"))
+        return cells.select("__cx", "__cy", *[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+
+    corner = lambda axis: F.greatest(F.col(f"a_{axis}0"), F.col(f"b_{axis}0") - slack)
+    end = lambda axis: F.least(F.col(f"a_{axis}1"), F.col(f"b_{axis}1") + slack)
+    left, right = dealt(a, "a_", 0), dealt(b, "b_", slack).withColumnsRenamed({"__cx": "__dx", "__cy": "__dy"})
+    on = (F.col("a_page") == F.col("b_page")) & (F.col("__cx") == F.col("__dx")) & (F.col("__cy") == F.col("__dy"))
+    meet = (F.col("a_region") != F.col("b_region")) & (corner("x") <= end("x")) & (corner("y") <= end("y"))
+    once = (F.col("__cx") == F.floor(corner("x") / CELL)) & (F.col("__cy") == F.floor(corner("y") / CELL))
+    return left.join(right, on).where(meet & once).drop("__cx", "__cy", "__dx", "__dy")
+
+
 def role() -> Column:
     return F.when(F.col("label").isin(*FORMULA_LABELS), "formula").when(F.col("label").isin(*TEXT_LABELS), "text").otherwise("preserved")
 
@@ -75,9 +99,9 @@ def owned_by_tables(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
     last in the tables' order (large first) counts.
     """
     tables = regions.where("label = 'table'").withColumn("area", area())
-    held = pairs(tables, tables).where(contains("b_", "a_")).where((F.col("b_area") > F.col("a_area")) | ((F.col("b_area") == F.col("a_area")) & (F.col("b_ord") < F.col("a_ord"))))
+    held = touching(tables, tables).where(contains("b_", "a_")).where((F.col("b_area") > F.col("a_area")) | ((F.col("b_area") == F.col("a_area")) & (F.col("b_ord") < F.col("a_ord"))))
     kept = tables.join(held.select(F.col("a_region").alias("region")).distinct(), "region", "left_anti")
-    inside = pairs(regions, kept).where(contains("b_", "a_"))
+    inside = touching(regions, kept).where(contains("b_", "a_"))
     owner = F.max_by("b_region", F.struct(-F.col("b_area"), "b_ord"))
     return kept, inside.groupBy(F.col("a_region").alias("region")).agg(owner.alias("owner"))
 
@@ -101,7 +125,7 @@ def plan_roles(regions: DataFrame) -> DataFrame:
     base = F.when(F.col("owner").isNotNull(), "owned").when(F.col("kept"), "table").otherwise(role())
     roled = marked.select("page", "region", "x0", "y0", "x1", "y1", base.alias("role"))
     texts, formulas = roled.where("role = 'text'"), roled.where("role = 'formula'")
-    met = pairs(texts, formulas).where(overlap("a_", "b_") > 0).select(F.col("a_region").alias("region"), F.lit(True).alias("met")).distinct()
+    met = touching(texts, formulas).where(overlap("a_", "b_") > 0).select(F.col("a_region").alias("region"), F.lit(True).alias("met")).distinct()
     return roled.join(met, "region", "left").select("page", "region", F.when(F.col("met"), "overlapped").otherwise(F.col("role")).alias("role"))
 
 
@@ -150,7 +174,7 @@ def figure_edges_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = P.regions(spark, sf_dir)
     figures = r.where("label in ('chart', 'image')")
     strip = (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")) & (F.least(F.col("a_y1") + F.greatest(F.lit(3), F.least(F.lit(40), F.expr("(a_y1 - a_y0) div 6"))), F.col("b_y1")) > F.greatest("a_y1", "b_y0"))
-    blocked = pairs(figures, r).where(strip).select(F.col("a_region").alias("region")).distinct()
+    blocked = touching(figures, r, 40).where(strip).select(F.col("a_region").alias("region")).distinct()
     return figures.join(blocked, "region", "left_anti").select("region")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..registry import Registry
 from ..sources import projections as P
-from .regions import TEXT_LABELS, pairs
+from .regions import TEXT_LABELS, touching
 
 R = Registry()
 _T = ", ".join(f"'{x}'" for x in TEXT_LABELS)
@@ -114,7 +114,7 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text boxes whose end lies in the next one, on nine tenths of the narrower width, with nothing else in what they share."""
     c = F.col
     r = P.regions(spark, sf_dir).where(c("label").isin(*TEXT_LABELS))
-    near = pairs(r, r).where((c("a_ord") < c("b_ord")) & (c("a_y0") < c("b_y0")) & (c("b_y0") < c("a_y1")) & (c("a_y1") < c("b_y1")))
+    near = touching(r, r).where((c("a_ord") < c("b_ord")) & (c("a_y0") < c("b_y0")) & (c("b_y0") < c("a_y1")) & (c("a_y1") < c("b_y1")))
     left, right = F.greatest("a_x0", "b_x0"), F.least("a_x1", "b_x1")
     near = near.where(10 * (right - left) >= 9 * F.least(c("a_x1") - c("a_x0"), c("b_x1") - c("b_x0"))).select(c("a_region").alias("upper"), c("b_region").alias("lower"), c("a_page").alias("page"), c("b_y0").alias("top"), c("a_y1").alias("bottom"), left.alias("l"), right.alias("r"))
     o = r.select(*[c(n).alias(f"o_{n}") for n in ("page", "region", "x0", "y0", "x1", "y1")])

@@ -121,3 +121,14 @@ def test_eq_fields():
         assert to_latex(source)[0] == want
     assert to_latex(r"\zz(a,b)") == (r"\operatorname{EQ_zz}\left(a,b\right)", True, [r"unknown switch zz: \zz(a,b)"], None)
     assert to_latex(r"\f(1,2")[3] == "unclosed switch f" and to_latex(" ")[3] == "empty output" and to_latex(None) == (None, False, [], None)
+
+
+def test_boxes_meet_as_all_pairs_do(spark):
+    rng = random.Random(13)
+    rows = [(i % 4, f"r{i}", x := rng.randrange(-100, 400), y := rng.randrange(400), x + rng.randrange(200), y + rng.randrange(1, 150)) for i in range(160)]
+    df = spark.createDataFrame(rows, "page long, region string, x0 long, y0 long, x1 long, y1 long")
+    for slack in (0, 2, 40):
+        c = F.col
+        meet = (F.greatest(c("a_x0"), c("b_x0") - slack) <= F.least(c("a_x1"), c("b_x1") + slack)) & (F.greatest(c("a_y0"), c("b_y0") - slack) <= F.least(c("a_y1"), c("b_y1") + slack))
+        want = sorted((r["a_region"], r["b_region"]) for r in regions.pairs(df, df).where(meet).collect())
+        assert want and sorted((r["a_region"], r["b_region"]) for r in regions.touching(df, df, slack).collect()) == want
