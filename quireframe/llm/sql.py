@@ -39,18 +39,22 @@ s3 AS (SELECT *, min(CASE WHEN level * w <= CAST({mixing.CAP} * source_size AS D
 s4 AS (SELECT source, n_docs, CAST(source_size AS BIGINT) AS source_size,
               CASE WHEN f IS NULL OR i < f THEN CAST({mixing.CAP} * source_size AS DOUBLE)
                    ELSE max(CASE WHEN i = f THEN level END) OVER () * w END AS target FROM s3),
-e AS (SELECT d.doc_id, d.source, d.size, d.r, s4.source_size, s4.target,
+g AS (SELECT d.source, {", ".join(f"sum(CASE WHEN d.size * {k} > s4.source_size THEN d.size ELSE 0 END) AS g{k}" for k in mixing.LONG)} FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source GROUP BY d.source),
+w AS (SELECT s4.*, g.* EXCLUDE (source), CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS alike FROM s4 JOIN g ON g.source IS NOT DISTINCT FROM s4.source),
+x AS (SELECT *, floor(alike + 0.5::DOUBLE) AS whole FROM w),
+y AS (SELECT *, CASE {" ".join(f"WHEN source_size > g{k} AND (target - whole * CAST(g{k} AS DOUBLE)) / CAST(source_size - g{k} AS DOUBLE) BETWEEN 0 AND {mixing.CAP} THEN {k}" for k in mixing.LONG)} ELSE 0 END AS tier FROM x),
+z AS (SELECT source, n_docs, source_size, target, whole, tier, CASE tier {" ".join(f"WHEN {k} THEN (target - whole * CAST(g{k} AS DOUBLE)) / CAST(source_size - g{k} AS DOUBLE)" for k in mixing.LONG)} ELSE alike END AS each FROM y),
+e AS (SELECT d.doc_id, d.source, d.size, d.r, z.source_size, z.target, z.whole, z.each, d.size * z.tier > z.source_size AS is_long,
              CAST('0x' || substr(d.r, 1, 8) AS BIGINT) % greatest(1, CAST(floor(sqrt(n_docs) / 8) AS BIGINT)) AS bucket
-      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
-a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN -size ELSE size END, r) AS pos,
-             CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS each,
+      FROM d JOIN z ON d.source IS NOT DISTINCT FROM z.source),
+a AS (SELECT *, row_number() OVER (PARTITION BY source, is_long ORDER BY bucket, CASE WHEN bucket % 2 = 0 THEN -size ELSE size END, r) AS pos,
              CAST(CAST('0x' || substr(md5('{mixing.SEED}' || chr(31) || coalesce(source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
       FROM e)
 """
 
 OP5 = rf"""
 WITH {_SIZED}
-SELECT doc_id, size, source_size, target, CAST(size * (floor(pos * each + u) - floor((pos - 1) * each + u)) AS BIGINT) AS taken FROM a
+SELECT doc_id, size, source_size, target, CAST(size * CASE WHEN is_long THEN whole ELSE floor(pos * each + u) - floor((pos - 1) * each + u) END AS BIGINT) AS taken FROM a
 """
 
 

@@ -44,7 +44,7 @@ def test_mix_is_near_its_targets(spark):
     for r in drawn.groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
         assert r["taken"] == pytest.approx(r["target"], rel=0.01)
     # No document is favoured: over many offsets each has its expected copies.
-    few = docs.where("doc_id < 60")
+    few = spark.createDataFrame([(i, "w " * 10, f"s{min(i % 5, 2)}") for i in range(60)], "doc_id long, text string, source string")
     runs = [{r["doc"]["doc_id"]: (r["copies"], r["target"] / r["source_size"]) for r in mixing.mix(few, seed=s).collect()} for s in range(24)]
     for i in range(60):
         assert sum(r[i][0] for r in runs) / len(runs) == pytest.approx(runs[0][i][1], abs=0.35)
@@ -52,6 +52,17 @@ def test_mix_is_near_its_targets(spark):
     assert again == {(r["doc"]["doc_id"], r["copies"]) for r in drawn.collect()}
 
 
+def test_very_long_documents_do_not_spoil_the_target(spark):
+    rows = [(i, "w " * (5 + i % 9), f"s{i % 3}") for i in range(300)] + [(1000 + i, "w " * (700 - 90 * i), f"s{i}") for i in range(3)]
+    drawn = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).cache()
+    for r in drawn.groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect():
+        assert r["taken"] == pytest.approx(r["target"], rel=0.04)
+    assert drawn.where("copies > 3 or copies < 0").count() == 0
+    # Where the others cannot make up for it, documents are alike.
+    alone = spark.createDataFrame([(1, "w " * 50, "a"), (2, "w " * 50, "b"), (3, "w", "b")], "doc_id long, text string, source string")
+    assert mixing.mix(alone).where("copies is null").count() == 0
+
+
 def test_mix_of_odd_rows(odd_docs, no_docs):
     drawn = mixing.mix(odd_docs).cache()
     by_source = {r["source"]: r for r in drawn.groupBy("doc.source").agg(F.sum("size").alias("s"), F.max("source_size").alias("z"), F.max("target").alias("t"), F.max("copies").alias("c")).collect()}
