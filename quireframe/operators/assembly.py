@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.joins import per_group
 from ..registry import Registry
 from ..sources import projections as P
 from .regions import FORMULA_LABELS, TEXT_LABELS, area, contains, overlap, touching
@@ -184,18 +184,21 @@ def duplicate_text(regions: DataFrame) -> DataFrame:
     one group.
     """
 
-    def page(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.assign(area=(df.x1 - df.x0).clip(lower=0) * (df.y1 - df.y0).clip(lower=0), key=df.text.map(lambda t: re.sub(r"\s+", "", t or "")))
-        kept: list = []
+    def page(rows: list) -> list[tuple]:
+        size = lambda r: max(0, r.x1 - r.x0) * max(0, r.y1 - r.y0)
+        keyed = [(r, re.sub(r"\s+", "", r.text or "")) for r in rows]
+        kept: list[tuple] = []
         out = []
-        for r in df[df.key != ""].sort_values(["area", "ord", "region"], ascending=[False, True, True]).itertuples():
-            shared = lambda o: max(0, min(r.x1, o.x1) - max(r.x0, o.x0)) * max(0, min(r.y1, o.y1) - max(r.y0, o.y0))  # noqa: B023, E731
-            owner = next((o for o in kept if r.key in o.key and r.area and 100 * shared(o) >= 95 * r.area), None)
-            out += [(r.region, owner.region)] if owner else []
-            kept += [] if owner else [r]
-        return pd.DataFrame(out, columns=["region", "retained"])
+        for r, key in sorted((x for x in keyed if x[1]), key=lambda x: (-size(x[0]), x[0].ord, x[0].region)):
+            shared = lambda o, r=r: max(0, min(r.x1, o.x1) - max(r.x0, o.x0)) * max(0, min(r.y1, o.y1) - max(r.y0, o.y0))
+            owner = next((o for o, k in kept if key in k and size(r) and 100 * shared(o) >= 95 * size(r)), None)
+            if owner is None:
+                kept.append((r, key))
+            else:
+                out.append((r.region, owner.region))
+        return out
 
-    return regions.groupBy("page").applyInPandas(page, "region string, retained string")
+    return per_group(regions.select("page", "region", "ord", "text", "x0", "y0", "x1", "y1"), "page", ["ord"], page, "region string, retained string")
 
 
 @R.add()
@@ -306,9 +309,8 @@ def score_rows(blocks: DataFrame) -> DataFrame:
         text = text.strip()
         return f"${text[2:-2].strip()}$" if text.startswith("$$") and text.endswith("$$") and len(text) > 4 else text
 
-    def page(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("ord")
-        rows, content = list(df.itertuples()), df.content.fillna("").tolist()
+    def page(rows: list) -> list[tuple]:
+        content = [r.content or "" for r in rows]
         for i in range(len(rows) - 1):
             a, b, left, right = rows[i], rows[i + 1], content[i], content[i + 1]
             found = score.search(left)
@@ -322,9 +324,9 @@ def score_rows(blocks: DataFrame) -> DataFrame:
                 pieces = [left[: found.start()], right, found[0]]
             if pieces and same_row(a, b):
                 content[i], content[i + 1] = " ".join(filter(None, map(inline, pieces))), ""
-        return pd.DataFrame({"page": df.page, "ord": df.ord, "content": content})
+        return [(r.page, r.ord, c) for r, c in zip(rows, content, strict=True)]
 
-    return blocks.groupBy("page").applyInPandas(page, "page long, ord int, content string")
+    return per_group(blocks.select("page", "ord", "label", "content", "x0", "y0", "x1", "y1"), "page", ["ord"], page, "page long, ord int, content string")
 
 
 @R.add()

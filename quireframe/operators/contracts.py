@@ -389,7 +389,7 @@ def pending_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "labels").where("quality = 0").orderBy("doc_id").offset(10).limit(50).select("doc_id", "quality")
 
 
-@R.add("""SELECT source, max(n) FILTER (kind = 'xml') AS xml, max(n) FILTER (kind = 'media') AS media, max(n) FILTER (kind = 'ole') AS ole, sum(n) AS total, max(n * 1000 // (doc % 90 + 10)) AS ratio_milli FROM (SELECT source, doc_id AS doc, ['xml', 'media', 'ole', 'other'][doc_id % 4 + 1] AS kind, n_chars AS n FROM documents) GROUP BY source""")
+@R.add("""SELECT source, max(n) FILTER (kind = 'xml') AS xml, max(n) FILTER (kind = 'media') AS media, max(n) FILTER (kind = 'ole') AS ole, CAST(sum(n) AS BIGINT) AS total, max(n * 1000 // (doc % 90 + 10)) AS ratio_milli FROM (SELECT source, doc_id AS doc, ['xml', 'media', 'ole', 'other'][doc_id % 4 + 1] AS kind, n_chars AS n FROM documents) GROUP BY source""")
 def package_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest part of every kind in a package, their sum, and the largest compression ratio in thousandths."""
     k = F.col("doc_id")

@@ -75,14 +75,14 @@ def group_matrix(x: Column, y: Column, width: Column, height: Column, child: tup
 @R.add("""WITH g AS (SELECT p_partkey, (p_partkey % 50)::DOUBLE AS x, (p_size % 20)::DOUBLE AS y, (p_size + 10)::DOUBLE AS w, (p_partkey % 30 + 5)::DOUBLE AS h, p_partkey % 2 = 0 AS fh, p_size % 3 = 0 AS fv, (p_partkey % 4 * 30)::DOUBLE AS rot FROM part),
     s AS (SELECT *, x + (7.0::DOUBLE - 1.0::DOUBLE) * w / 40.0::DOUBLE AS px, y + (9.0::DOUBLE - 2.0::DOUBLE) * h / 25.0::DOUBLE AS py, x + w / 2 AS mx, y + h / 2 AS my FROM g),
     m AS (SELECT *, CASE WHEN fh THEN 2 * mx - px ELSE px END AS qx, CASE WHEN fv THEN 2 * my - py ELSE py END AS qy FROM s)
-    SELECT p_partkey, round(mx + cos(radians(rot)) * (qx - mx) - sin(radians(rot)) * (qy - my), 6) AS x, round(my + sin(radians(rot)) * (qx - mx) + cos(radians(rot)) * (qy - my), 6) AS y FROM m""")
+    SELECT p_partkey, round(mx + cos(radians(rot)) * (qx - mx) - sin(radians(rot)) * (qy - my), 6) + 0.0::DOUBLE AS x, round(my + sin(radians(rot)) * (qx - mx) + cos(radians(rot)) * (qy - my), 6) + 0.0::DOUBLE AS y FROM m""")
 def group_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point (7, 9) of groups whose children live in a box of 40 by 25 from (1, 2)."""
     k, n = F.col("p_partkey"), F.col("p_size")
     d = lambda c: c.cast("double")
     m = group_matrix(d(k % 50), d(n % 20), d(n + 10), d(k % 30 + 5), (F.lit(1.0), F.lit(2.0), F.lit(40.0), F.lit(25.0)), k % 2 == 0, n % 3 == 0, d(k % 4 * 30))
     x, y = applied(m, F.lit(7.0), F.lit(9.0))
-    return P.table(spark, sf_dir, "part").select("p_partkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+    return P.table(spark, sf_dir, "part").select("p_partkey", (F.round(x, 6) + 0.0).alias("x"), (F.round(y, 6) + 0.0).alias("y"))
 
 
 @R.add(f"""WITH g AS (SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN (p_size * 100 - 300)::DOUBLE END AS bw, (p_partkey % 40 * 50)::DOUBLE AS bh, (p_size % 5 * 72)::DOUBLE AS inch, (p_partkey % 9 * {EMU // 2})::DOUBLE AS ew, (p_size % 7 * {EMU // 4})::DOUBLE AS eh FROM part),

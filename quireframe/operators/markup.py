@@ -206,7 +206,7 @@ def link_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""WITH {_LINES}, s AS (SELECT doc, line, text, octet_length(encode(text)) AS n, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY doc ORDER BY line) - octet_length(encode(text)) - 1 AS a FROM l),
     v AS (SELECT *, a + n + CASE WHEN line % 11 = 0 THEN 2 ELSE 0 END AS b FROM s), w AS (SELECT *, lag(b) OVER (PARTITION BY doc ORDER BY line) AS before FROM v)
-    SELECT doc, line, CASE WHEN coalesce(before, 0) > a OR a >= b THEN 'Invalid compact Markdown byte range' END AS problem FROM w""")
+    SELECT doc, CAST(line AS INTEGER) AS line, CASE WHEN coalesce(before, 0) > a OR a >= b THEN 'Invalid compact Markdown byte range' END AS problem FROM w""")
 def span_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte ranges that are empty or overlap the one before; here every eleventh claims two bytes too many."""
     n = F.octet_length("text")
@@ -242,7 +242,7 @@ def style_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""WITH {_LINES}, h AS (SELECT doc, line, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM l WHERE line <= 3 AND NOT regexp_matches(text, '^\\s*$')), f AS (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY line) AS n FROM h),
     b AS (SELECT doc, lower(regexp_replace(string_agg(text, ' ' ORDER BY line), '\\s+', '', 'g')) AS body FROM l WHERE line > 3 GROUP BY doc)
-    SELECT f.doc, f.line, NOT coalesce(starts_with(body, replace(key, ' ', '')), FALSE) AS kept FROM f LEFT JOIN b ON b.doc = f.doc WHERE n = 1""")
+    SELECT f.doc, CAST(f.line AS INTEGER) AS line, NOT coalesce(starts_with(body, replace(key, ' ', '')), FALSE) AS kept FROM f LEFT JOIN b ON b.doc = f.doc WHERE n = 1""")
 def header_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles in a document's first three lines, each once whatever its blanks and case, and not kept if the body begins with it."""
     l = P.page_lines(spark, sf_dir)
@@ -256,7 +256,7 @@ def header_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"""WITH {_LINES}, x AS (SELECT doc, line, regexp_extract_all(text, '([A-Za-z]{{4,}})[.!?]? ?([0-9]+)', 1) AS k, regexp_extract_all(text, '([A-Za-z]{{4,}})[.!?]? ?([0-9]+)', 2) AS v FROM l), r AS (SELECT doc, line, unnest(k) AS prefix, unnest(v) AS value FROM x),
     n AS (SELECT doc, prefix, count(*) AS n, max(CASE WHEN CAST(line AS BIGINT) % 2 = 0 THEN value || '0' ELSE value END) AS native FROM r GROUP BY doc, prefix)
-    SELECT r.doc, r.line, r.prefix, r.value AS reading, n.native FROM r JOIN n ON n.doc = r.doc AND n.prefix = r.prefix WHERE n.n = 1 AND n.native <> r.value""")
+    SELECT r.doc, CAST(r.line AS INTEGER) AS line, r.prefix, r.value AS reading, n.native FROM r JOIN n ON n.doc = r.doc AND n.prefix = r.prefix WHERE n.n = 1 AND n.native <> r.value""")
 def numeric_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers after a word that differ from the one such number in the page's native text; even lines' native numbers have a digit more."""
     pattern = F.lit("([A-Za-z]{4,})[.!?]? ?([0-9]+)")

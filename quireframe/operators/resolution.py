@@ -48,13 +48,13 @@ def visible_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc", number.alias("number"), "node", F.when(F.col("kind") == "formula", "FORMULA_FALLBACK").otherwise("EMBEDDED_IMAGE").alias("semantic_type"), F.when(F.col("rendered"), "RESOLVED").otherwise("UNRESOLVED").alias("status"))
 
 
-@R.add(f"WITH n AS ({NODES}) SELECT doc, ord, node, state FROM n WHERE kind = 'formula' AND holder <> 'embedded'")
+@R.add(f"WITH n AS ({NODES}) SELECT doc, CAST(ord AS INTEGER) AS ord, node, state FROM n WHERE kind = 'formula' AND holder <> 'embedded'")
 def formula_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formulas in blocks and links; what stands within pictures' content is left to these."""
     return nodes(spark, sf_dir).where("kind = 'formula' AND holder <> 'embedded'").select("doc", "ord", "node", "state")
 
 
-@R.add(f"""WITH n AS ({NODES}) SELECT doc, ord, CASE WHEN (state IN ({_V}) OR state = 'UNRESOLVED') AND rendered THEN 'assets/' || node || '.png' END AS final_ref, state LIKE 'OCR_ACCEPTED%' AND rendered AS suppressed FROM n WHERE kind = 'formula' AND holder <> 'embedded'""")
+@R.add(f"""WITH n AS ({NODES}) SELECT doc, CAST(ord AS INTEGER) AS ord, CASE WHEN (state IN ({_V}) OR state = 'UNRESOLVED') AND rendered THEN 'assets/' || node || '.png' END AS final_ref, state LIKE 'OCR_ACCEPTED%' AND rendered AS suppressed FROM n WHERE kind = 'formula' AND holder <> 'embedded'""")
 def formula_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The picture that a formula refers to in the end: none once its text is accepted, whose picture is kept back."""
     f = nodes(spark, sf_dir).where("kind = 'formula' AND holder <> 'embedded'")
@@ -62,7 +62,7 @@ def formula_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc", "ord", F.when(shows, F.concat(F.lit("assets/"), F.col("node").cast("string"), F.lit(".png"))).alias("final_ref"), (F.col("state").startswith("OCR_ACCEPTED") & F.col("rendered")).alias("suppressed"))
 
 
-@R.add(f"""WITH n AS ({NODES}), c AS (SELECT p_partkey AS node, p_brand AS origin, p_size AS width FROM part WHERE p_partkey % 3 <> 0) SELECT doc, ord, CASE WHEN state LIKE '%INFERENCE_FAILED%' THEN 'PRESERVE_IMAGE' ELSE 'RECORDED' END AS outcome, coalesce(origin, 'UNKNOWN') AS origin, width FROM n LEFT JOIN c ON c.node = n.node WHERE kind = 'formula'""")
+@R.add(f"""WITH n AS ({NODES}), c AS (SELECT p_partkey AS node, p_brand AS origin, p_size AS width FROM part WHERE p_partkey % 3 <> 0) SELECT doc, CAST(ord AS INTEGER) AS ord, CASE WHEN state LIKE '%INFERENCE_FAILED%' THEN 'PRESERVE_IMAGE' ELSE 'RECORDED' END AS outcome, coalesce(origin, 'UNKNOWN') AS origin, width FROM n LEFT JOIN c ON c.node = n.node WHERE kind = 'formula'""")
 def formula_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a formula comes from, by its candidate's record; one whose reading failed keeps its picture."""
     c = P.table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("origin"), F.col("p_size").alias("width"))
@@ -124,7 +124,7 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""WITH l AS ({P.PAGE_LINES}), h AS (SELECT doc, line, regexp_extract(text, '^(#{{1,6}}) ', 1) AS marks, CASE WHEN line % 4 = 1 THEN repeat('#', CAST(line % 6 + 1 AS INTEGER)) END AS made, text FROM l)
-    SELECT doc, line, CASE WHEN regexp_matches(text, '^([0-9]+[.、 ]|第.+节)') THEN 2 ELSE least(4, greatest(2, length(coalesce(made, marks)))) END AS level FROM h WHERE coalesce(made, marks) <> ''""")
+    SELECT doc, CAST(line AS INTEGER) AS line, CASE WHEN regexp_matches(text, '^([0-9]+[.、 ]|第.+节)') THEN 2 ELSE least(4, greatest(2, length(coalesce(made, marks)))) END AS level FROM h WHERE coalesce(made, marks) <> ''""")
 def section_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of headings within a section: numbered ones are 2, others from 2 to 4; here every fourth line is a heading."""
     marks = F.regexp_extract("text", "^(#{1,6}) ", 1)

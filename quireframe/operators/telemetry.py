@@ -17,6 +17,12 @@ def _avg(name: str, alias: str):
     return F.round(F.avg(name), 4).alias(alias)
 
 
+def _cents(name: str, alias: str):
+    """An average to four places, rounded down, by sums of hundredths, which no order of addition changes."""
+    cents = F.sum(F.round(F.col(name) * 100).cast("long")) * 100
+    return (F.floor(cents / F.count(name)) / F.lit(10000.0)).alias(alias)
+
+
 def summarize_tools(calls: DataFrame) -> DataFrame:
     """By name and action: calls, errors, unfinished calls, response times and the largest resident size at an end."""
     peak = F.greatest("rss_start", F.coalesce("rss_end", "rss_start"))
@@ -47,7 +53,7 @@ def call_resources(calls: DataFrame, samples: DataFrame, *, width: float = 3600.
     """Samples of a call's run between its start and ``until``: one join for all calls, calls without samples included."""
     spans = calls.select("call", "run", "start", "until")
     hit = interval_join(samples.drop("pid"), spans, keys=["run"], at=epoch(F.col("t")), start=epoch(F.col("start")), end=epoch(F.col("until")), width=width)
-    agg = hit.groupBy("call").agg(F.count("*").alias("n"), _avg("cpu_pct", "cpu_avg"), F.max("ram_used").alias("ram_peak"), _avg("gpu_pct", "gpu_avg"), F.max("gpu_pct").alias("gpu_peak"))
+    agg = hit.groupBy("call").agg(F.count("*").alias("n"), _cents("cpu_pct", "cpu_avg"), F.max("ram_used").alias("ram_peak"), _avg("gpu_pct", "gpu_avg"), F.max("gpu_pct").alias("gpu_peak"))
     return spans.select("call").join(agg, "call", "left").select("call", F.coalesce("n", F.lit(0)).cast("long").alias("samples"), "cpu_avg", "ram_peak", "gpu_avg", "gpu_peak")
 
 
@@ -61,7 +67,7 @@ def _closed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(f"""WITH s AS ({P.SAMPLES}), c AS (SELECT * FROM {_CLOSED})
-    SELECT c.call, count(s.sample) AS samples, round(avg(cpu_pct), 4) AS cpu_avg, max(ram_used) AS ram_peak, round(avg(gpu_pct), 4) AS gpu_avg, max(gpu_pct) AS gpu_peak
+    SELECT c.call, count(s.sample) AS samples, floor(sum(CAST(round(cpu_pct * 100) AS BIGINT)) * 100 / CAST(count(cpu_pct) AS DOUBLE)) / 10000.0::DOUBLE AS cpu_avg, max(ram_used) AS ram_peak, round(avg(gpu_pct), 4) AS gpu_avg, max(gpu_pct) AS gpu_peak
     FROM c LEFT JOIN s ON s.run = c.run AND s.t BETWEEN c.start AND c.until GROUP BY c.call""")
 def call_sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return call_resources(_closed_calls(spark, sf_dir), P.samples(spark, sf_dir))

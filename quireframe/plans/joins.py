@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +69,28 @@ def once_per_key(df: DataFrame, keys: list[str], expensive: Callable[[DataFrame]
     return a.join(b, on, "left").select("a.*", *[F.col(f"b.{c}") for c in extra])
 
 
+def per_group(df: DataFrame, key: str, order: list[str], of_group: Callable[[list], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``of_group`` makes of each key's rows, named tuples in ``order``; groups are small, and many go through Python at a time.
+
+    Groups come one after another from sorted partitions, so a group that two batches share is put together.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame.itertuples(index=False, name="Row"):
+                if held and getattr(held[0], key) != getattr(row, key):
+                    out += of_group(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(of_group(held) if held else [], columns=names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     """The first ``n`` rows of every key in this order."""
     ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
