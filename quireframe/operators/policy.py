@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,24 +133,29 @@ def batched(items: DataFrame, *, key: str, order: str, size: str, max_items: int
     """(key, order, batch): greedy batches of a key's items in order.
 
     A batch closes before the item that would overfill it; an item that no batch
-    can hold has none. A running sum with resets is no window, so each key's
-    sizes, not its items, are folded as one array: keys are single requests.
+    can hold has none. A running sum with resets is no window, so sorted rows pass
+    through Python with a batch's number and sums, and no key is ever held whole.
     """
-    g = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("all"))
-    start = F.expr("named_struct('batch', 0L, 'items', 0L, 'bytes', 0L, 'out', cast(array() as array<struct<o:bigint,batch:bigint>>))")
-
-    def step(a: Column, x: Column) -> Column:
-        fits_none = x["n"] > max_bytes
-        new = (a["items"] > 0) & ((a["items"] >= max_items) | (a["bytes"] + x["n"] > max_bytes))
-        batch = F.when(fits_none, a["batch"]).otherwise(a["batch"] + new.cast("long"))
-        return F.struct(
-            batch.alias("batch"),
-            F.when(fits_none, a["items"]).when(new, F.lit(1)).otherwise(a["items"] + 1).cast("long").alias("items"),
-            F.when(fits_none, a["bytes"]).when(new, x["n"]).otherwise(a["bytes"] + x["n"]).alias("bytes"),
-            F.array_append(a["out"], F.struct(x["o"].cast("long").alias("o"), F.when(~fits_none, batch).alias("batch"))).alias("out"),
-        )
-
-    return g.select(key, F.inline(F.aggregate("all", start, step, lambda a: a["out"])).alias("o", "batch")).withColumnRenamed("o", order)
+    rows = items.select(key, F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batch, count, held = None, 0, 0, 0
+        for frame in frames:
+            out: list[int | None] = []
+            for k, n in zip(frame[key], frame["n"], strict=True):
+                if k != at:
+                    at, batch, count, held = k, 0, 0, 0
+                if n > max_bytes:
+                    out.append(None)
+                    continue
+                if count and (count >= max_items or held + n > max_bytes):
+                    batch, count, held = batch + 1, 0, 0
+                count, held = count + 1, held + n
+                out.append(batch)
+            yield pd.DataFrame({key: frame[key], order: frame["o"], "batch": pd.array(out, "Int64")})
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.repartition(key).sortWithinPartitions(key, "o").mapInPandas(run, f"{key} {kind}, {order} long, batch long")
 
 
 @R.add("""WITH RECURSIVE t AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS k, CAST(l_quantity AS BIGINT) AS n FROM lineitem),

@@ -129,3 +129,25 @@ def representative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.when(F.col("n_chars") <= 500, "SHORT").when(F.col("n_chars") <= 2000, "MEDIUM").otherwise("LONG")
     d = P.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", length.alias("length"))
     return representative(d, key="doc_id", dims=["source", "lang", "length"], count=100)
+
+
+def frozen(rows: DataFrame, *, key: str, dims: list[str], counts: tuple[int, int] = (100, 80)) -> DataFrame:
+    """(subset, key, position, lock): two representative subsets, the second of what the first left, under one digest of both.
+
+    The lock is over the ids in their order, as canonical JSON, so that a later run can tell whether it has the same rows.
+    """
+    first = representative(rows, key=key, dims=dims, count=counts[0])
+    rest = rows.join(first.select(key), key, "left_anti")
+    second = representative(rest, key=key, dims=dims, count=counts[1])
+    both = first.select(F.lit(1).alias("subset"), key, "position").unionByName(second.select(F.lit(2).alias("subset"), key, "position"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("subset", "position", F.col(key).cast("string").alias("k")))), lambda x: F.concat(F.lit("["), x["subset"].cast("string"), F.lit(',"'), x["k"], F.lit('"]'))), ",")
+    lock = both.agg(F.sha2(F.concat(F.lit("["), ids, F.lit("]")).cast("binary"), 256).alias("lock")).first()["lock"]  # at most the counts' rows
+    return both.withColumn("lock", F.lit(lock))
+
+
+@R.add()
+def frozen_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred and eighty documents, frozen."""
+    length = F.when(F.col("n_chars") <= 500, "SHORT").when(F.col("n_chars") <= 2000, "MEDIUM").otherwise("LONG")
+    d = P.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", length.alias("length"))
+    return frozen(d, key="doc_id", dims=["source", "lang", "length"])

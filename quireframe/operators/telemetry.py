@@ -77,7 +77,7 @@ def call_sample_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     max(t) AS last_sample FROM ({P.RUNS}) r JOIN ({P.SAMPLES}) s ON s.run = r.run AND s.t >= r.started AND (r.ended IS NULL OR s.t <= r.ended) GROUP BY r.run""")
 def run_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = (F.col("t") >= F.col("started")) & (F.col("ended").isNull() | (F.col("t") <= F.col("ended")))
-    hit = P.samples(spark, sf_dir).join(F.broadcast(P.runs(spark, sf_dir)), "run").where(inside)  # eight runs
+    hit = P.samples(spark, sf_dir).join(P.runs(spark, sf_dir), "run").where(inside)
     return hit.groupBy("run").agg(F.count("*").alias("samples"), _avg("cpu_pct", "cpu_avg"), F.max("ram_used").alias("ram_peak"), _avg("gpu_pct", "gpu_avg"), F.max("gpu_pct").alias("gpu_peak"), F.max("t").alias("last_sample"))
 
 

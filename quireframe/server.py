@@ -37,6 +37,9 @@ class Tools:
             "save": ("A query's whole result as a table.", self.save),
             "runtime_monitor": ("Summary, calls, samples or models of a capture.", self.monitor),
             "runtime_jobs": ("Listing, lookups and decisions of the job store.", self.jobs),
+            "textbook_import": ("Inspection, pending issues, evidence, preview and review of books.", self.imports),
+            "knowledge_workspace": ("State, inventory and paths of a workspace.", self.workspace),
+            "read": ("A window of a document's text.", lambda offset=0, limit=PAGE: self.query("text_window", offset, limit)),
             "convert": ("Packages below a folder to published Markdown.", self.convert),
             "validate": ("What is wrong with a published set.", lambda target: {"problems": api.validate_package(self.spark, target)}),
             "cleanup": ("Staged folders that nobody has touched for a day.", lambda root: dict(zip(("removed", "retained"), api.cleanup_staging(self.spark, root), strict=True))),
@@ -57,6 +60,14 @@ class Tools:
         names = {"list": "jobs_newest", "queue": "jobs_fifo", "lookup": "prefix_lookup", "decide": "submit_decisions", "expire": "wait_expiry", "status": "progress_records"}
         return self.query(names[action], offset, limit)
 
+    def imports(self, action: str = "inspect", offset: int = 0, limit: int = PAGE) -> dict:
+        names = {"inspect": "review_states", "pending": "pending_issues", "evidence": "evidence_crops", "preview": "book_files", "outline": "book_outline", "mismatches": "numeric_mismatches", "unmatched": "unmatched_entries", "resolve": "package_resolution"}
+        return self.query(names[action], offset, limit)
+
+    def workspace(self, action: str = "inspect", offset: int = 0, limit: int = PAGE) -> dict:
+        names = {"inspect": "workspace_state", "files": "extension_histogram", "changes": "inventory_changes", "paths": "path_scopes", "doctor": "doctor_report"}
+        return self.query(names[action], offset, limit)
+
     def convert(self, source: str, target: str, stop_on_error: bool = False) -> dict:
         c = api.convert_documents(self.spark, source, target, stop_on_error=stop_on_error)
         return {"target": target, "succeeded": c.succeeded, "failed": c.failed, "not_run": c.not_run}

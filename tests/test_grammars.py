@@ -99,3 +99,16 @@ def test_lexical_keys(spark):
     rows = [(r"v = 5 ~\mathrm{m/s}", r"v=5\unit{m/s}"), (r"f^{\prime}", "f'"), ("{a}_{b}", "a_b"), (r"\text{kg}", r"\unit{kg}"), ("{ab}", "{ab}")]
     df = spark.createDataFrame(rows, "a string, want string")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", assembly.lexical(df.a)).collect())
+
+
+def test_frozen_subsets_are_disjoint_and_locked(spark):
+    rows = [(i, f"s{i % 5}", f"l{i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, source string, lang string")
+    from quireframe.operators import stats
+
+    a = stats.frozen(df, key="id", dims=["source", "lang"], counts=(20, 10)).collect()
+    b = stats.frozen(df.repartition(5), key="id", dims=["source", "lang"], counts=(20, 10)).collect()
+    assert len(a) == 30 and len({r["id"] for r in a}) == 30 and sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert {(r["subset"]) for r in a} == {1, 2} and len({r["lock"] for r in a}) == 1
+    other = stats.frozen(df.where("id <> " + str(a[0]["id"])), key="id", dims=["source", "lang"], counts=(20, 10)).first()["lock"]
+    assert other != a[0]["lock"]
