@@ -124,7 +124,7 @@ def scan(
     rows = docs.select(col(id_col).alias("doc"), address(col(text_col)).alias("sha"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     gated = rows.where(F.col("text").rlike("|".join(r.gate for r in rules))).select("sha", "text").dropDuplicates(["sha"])
     held = rows.select("sha").distinct().withColumn("here", F.lit(True))
-    old = spark.createDataFrame([], LEDGER) if ledger is None else ledger
+    old = spark.range(0).select(F.lit("").alias("sha"), no_keys.alias("scanned"), none.alias("findings")) if ledger is None else ledger
     merge = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     old = old.groupBy("sha").agg(merge("scanned").alias("o_scanned"), merge("findings").alias("o_findings"))
     both = held.join(old, "sha", "full_outer").select("sha", F.coalesce("here", F.lit(False)).alias("here"), F.coalesce("o_scanned", no_keys).alias("o_scanned"), F.coalesce("o_findings", none).alias("o_findings"))
