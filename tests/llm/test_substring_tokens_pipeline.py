@@ -176,6 +176,55 @@ def test_whole_result_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"], r["n_removed"], r["removed_words"]) for r in got), key=order) == sorted(slow, key=order)
 
 
+def test_substring_query_equals_brute_force(spark):
+    """The query itself over all of the smallest table, with the shortest runs from and to every sentence, which cover all longer ones."""
+    from quireframe.llm.queries import op7_substring_dedup
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    first, covered = {}, {}
+    for d, t in docs:
+        parts = [tuple(w) for _, w in slow_sentences(t)]
+        upto = np.append(0, np.cumsum([len(w) for w in parts]))
+        ends, starts = {}, {}
+        for i in range(len(parts)):
+            long = [e for e in range(i + 2, min(len(parts), i + 22) + 1) if upto[e] - upto[i] >= 20]
+            if long:
+                ends[i] = long[0]
+        for e in range(2, len(parts) + 1):
+            long = [i for i in range(max(0, e - 22), e - 1) if upto[e] - upto[i] >= 20]
+            if long:
+                starts[e] = long[-1]
+        for i, e in sorted({*ends.items(), *((i, e) for e, i in starts.items())}):
+            run = tuple(parts[i:e])
+            if first.setdefault(run, (d, i)) != (d, i):
+                covered.setdefault(d, set()).update(range(i, e))
+    got = op7_substring_dedup(spark, "/root/testdata/sf0.001")
+    assert got.columns[:3] == ["doc_id", "text", "n_removed"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert {d: r["n_removed"] for d, r in rows.items()} == {d: len(covered.get(d, ())) for d, _ in docs}
+    for d, t in docs:
+        left = "".join(p for i, (p, _) in enumerate(slow_sentences(t)) if i not in covered.get(d, ()))
+        assert (rows[d]["text"] or "") == (left if d in covered else t)
+
+
+def test_token_query_equals_the_tokenizer(spark):
+    """The query itself over all of the smallest table: starts, counts and checksums."""
+    from tokenizers import Tokenizer
+
+    from quireframe.llm.queries import op9_tokens
+
+    t = Tokenizer.from_file(tokenizer_path())
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    want, start = [], 0
+    for d, text in docs:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = op9_tokens(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize("hot", [1, 10**9])
 def test_hot_spans_are_dealt_out(spark, hot):
     rng = random.Random(31)
