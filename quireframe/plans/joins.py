@@ -16,7 +16,7 @@ def epoch(ts: Column) -> Column:
 
 
 #: Bucket widths of an interval join grow by this factor, so many times.
-COARSER, LEVELS = 16, 4
+COARSER, LEVELS = 32, 3
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, *, keys: list[str], at: Column, start: Column, end: Column, width: float) -> DataFrame:
