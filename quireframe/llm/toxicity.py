@@ -16,7 +16,7 @@ of toxic rows among the labelled ones, up to a half, unless it is given.
 Features are presences of words and prefixes, in either direction: those whose
 frequencies in P and U differ by a log likelihood ratio that chance would give any
 of the candidates once in a hundred times. Settings were compared by cross-validation
-among the folds 0, 1 and 3; the held-out fold 2 had no part in it. Training uses at
+among the folds 0, 1 and 3; no setting was tried on the held-out fold 2. Training uses at
 most ``POSITIVES`` and ``UNLABELLED`` documents, exactly those of least id hash.
 Every document is scored, over its whole text.
 
