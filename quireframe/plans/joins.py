@@ -91,6 +91,23 @@ def per_group(df: DataFrame, key: str, order: list[str], of_group: Callable[[lis
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
+#: Bytes of the input's files for each task of ``spread``; unpacked they are several times as many.
+TASK_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out by ``keys`` over as many tasks as its files ask for, so that a task's share does not grow with the input.
+
+    Spark's own number of tasks is the least; it stays where no size is known, as of rows that a program holds. What is
+    dealt out by the same keys of the same files already is not moved again.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = -(-sum(sizes) // TASK_BYTES)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(n, 4096), *keys) if least < n < 1 << 24 else df.repartition(*keys)
+
+
 def latest(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
     """The first ``n`` rows of every key in this order."""
     ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.joins import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -121,7 +123,7 @@ LABELS = ("text", "formula", "table", "image", "figure_title", "display_formula"
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, region, ord, label, x0, y0, x1, y1, sha): boxes on pages; region is unique."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), ((F.col("l_partkey") + F.col("l_suppkey")) % len(LABELS) + 1).cast("int"))
     r = li.select("*", F.row_number().over(order).alias("ord"))
