@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.joins import epoch, interval_join
+from ..plans.joins import epoch, interval_join, range_totals
 from ..registry import Registry
 from ..sources import projections as P
 
@@ -17,12 +19,6 @@ def _avg(name: str, alias: str):
     return F.round(F.avg(name), 4).alias(alias)
 
 
-def _cents(name: str, alias: str):
-    """An average to four places, rounded down, by sums of hundredths, which no order of addition changes."""
-    cents = F.sum(F.round(F.col(name) * 100).cast("long")) * 100
-    return (F.floor(cents / F.count(name)) / F.lit(10000.0)).alias(alias)
-
-
 def summarize_tools(calls: DataFrame) -> DataFrame:
     """By name and action: calls, errors, unfinished calls, response times and the largest resident size at an end."""
     peak = F.greatest("rss_start", F.coalesce("rss_end", "rss_start"))
@@ -49,12 +45,23 @@ def closed(calls: DataFrame, runs: DataFrame) -> DataFrame:
     return calls.join(r, "run").withColumn("until", F.coalesce("end", "run_ended", "now"))
 
 
-def call_resources(calls: DataFrame, samples: DataFrame, *, width: float = 3600.0) -> DataFrame:
-    """Samples of a call's run between its start and ``until``: one join for all calls, calls without samples included."""
-    spans = calls.select("call", "run", "start", "until")
-    hit = interval_join(samples.drop("pid"), spans, keys=["run"], at=epoch(F.col("t")), start=epoch(F.col("start")), end=epoch(F.col("until")), width=width)
-    agg = hit.groupBy("call").agg(F.count("*").alias("n"), _cents("cpu_pct", "cpu_avg"), F.max("ram_used").alias("ram_peak"), _avg("gpu_pct", "gpu_avg"), F.max("gpu_pct").alias("gpu_peak"))
-    return spans.select("call").join(agg, "call", "left").select("call", F.coalesce("n", F.lit(0)).cast("long").alias("samples"), "cpu_avg", "ram_peak", "gpu_avg", "gpu_peak")
+def call_resources(calls: DataFrame, samples: DataFrame, *, width: float = 21600.0) -> DataFrame:
+    """Samples of a call's run between its start and ``until``: totals of ranges for all calls, calls without samples included."""
+    c = F.col
+    micros = lambda n: F.unix_micros(c(n).cast("timestamp"))
+    there = lambda n: c(n).isNotNull().cast("long")
+    whole = {n: F.lit(-math.inf) if samples.schema[n].dataType.typeName() in ("double", "float") else F.lit(-(1 << 63)) for n in ("ram_used", "gpu_pct")}
+    points = samples.select(
+        "run", micros("t").alias("at"), F.lit(1).cast("long").alias("n"), there("cpu_pct").alias("cpu_n"), F.coalesce(F.round(c("cpu_pct") * 100).cast("long"), F.lit(0)).cast("long").alias("cpu"),
+        there("gpu_pct").alias("gpu_n"), F.coalesce(c("gpu_pct"), F.lit(0)).alias("gpu"), there("ram_used").alias("ram_n"), *[F.coalesce(n, low).alias(f"{n}_peak") for n, low in whole.items()],
+    )
+    spans = calls.select("call", "run", micros("start").alias("start"), micros("until").alias("end"))
+    r = range_totals(points, spans, key="run", id="call", sums=["n", "cpu_n", "cpu", "gpu_n", "gpu", "ram_n"], peaks=["ram_used_peak", "gpu_pct_peak"], width=int(width * 1_000_000))
+    peak = lambda n, count: F.when(c(count) > 0, c(f"{n}_peak")).cast(samples.schema[n].dataType)
+    return r.select(
+        "call", c("n").alias("samples"), F.when(c("cpu_n") > 0, F.floor(c("cpu") * 100 / c("cpu_n")) / F.lit(10000.0)).alias("cpu_avg"), peak("ram_used", "ram_n").alias("ram_peak"),
+        F.when(c("gpu_n") > 0, F.round(c("gpu") / c("gpu_n"), 4)).alias("gpu_avg"), peak("gpu_pct", "gpu_n").alias("gpu_peak"),
+    )
 
 
 _CLOSED = f"""(SELECT c.*, coalesce(c."end", r.ended, n.now) AS until FROM ({P.CALLS}) c JOIN ({P.RUNS}) r ON c.run = r.run

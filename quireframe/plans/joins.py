@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def epoch(ts: Column) -> Column:
@@ -39,6 +42,71 @@ def interval_join(points: DataFrame, intervals: DataFrame, *, keys: list[str], a
     return joined.drop("__at", "__level", "__bucket", "__start", "__end")
 
 
+def range_totals(points: DataFrame, intervals: DataFrame, *, key: str, id: str, sums: list[str], peaks: list[str], width: int) -> DataFrame:
+    """(id, sums, peaks): sums and maxima of a key's points ``at`` within every closed interval ``start`` to ``end``, all whole numbers.
+
+    No point meets an interval as a row: within cells of ``width`` both are answered from a tree of partial sums, and what
+    an interval spans between its first and last cell from the sums of cells, once for all intervals that span the same.
+    Intervals without points have sums of 0 and peaks as low as a point's type allows; ``sums`` and ``peaks`` are never null.
+    """
+    c = F.col
+    cell = lambda at: F.floor(at / width)
+    total = [*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in peaks]]
+    p = points.where(c(key).isNotNull() & c("at").isNotNull()).select(key, "at", *sums, *peaks).withColumn("__cell", cell(c("at")))
+    # One without an end or a beginning holds nothing, as does one that ends before it starts.
+    known = c("start").isNotNull() & c("end").isNotNull()
+    i = intervals.select(id, key, *[F.when(known, c(n)).otherwise(F.lit(v)).cast("long").alias(n) for n, v in (("start", 1), ("end", 0))])
+    i = i.withColumns({"__first": cell(c("start")), "__last": F.greatest(cell(c("start")), cell(c("end")))})
+    ends = i.select(id, key, "start", "end", F.explode(F.array_distinct(F.array("__first", "__last"))).alias("__cell"))
+    within = _answered(p, ends, [key, "__cell"], id, sums, peaks)
+
+    spans = i.where(c("__last") - c("__first") > 1).select(id, key, (c("__first") + 1).alias("start"), (c("__last") - 1).alias("end"))
+    # A span of cells is known by its ends, as a number of its own.
+    asked = spans.select(key, "start", "end").distinct().withColumn("__span", F.struct("start", "end").cast("string"))
+    cells = p.groupBy(key, "__cell").agg(*total).withColumnRenamed("__cell", "at")
+    answers = _answered(cells, asked, [key], "__span", sums, peaks, keep=[key])
+    spans = spans.withColumn("__span", F.struct("start", "end").cast("string")).select(id, key, "__span")
+    between = spans.join(answers, [key, "__span"]).select(id, *sums, *peaks)
+    return within.unionByName(between).groupBy(id).agg(*total)
+
+
+def _answered(points: DataFrame, intervals: DataFrame, keys: list[str], id: str, sums: list[str], peaks: list[str], keep: list[str] | None = None) -> DataFrame:
+    """(keep, id, sums, peaks): an interval's sums and maxima over the points of its keys; a group's points and intervals meet in one call."""
+    kept = [*(keep or []), id]
+    schema = intervals.select(*kept).schema
+    for n in [*sums, *peaks]:
+        schema = schema.add(n, points.schema[n].dataType)
+    arrow = to_arrow_schema(schema)
+
+    def of_group(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = left.column("at").to_numpy()
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        low = np.searchsorted(at, right.column("start").to_numpy(), "left")
+        high = np.maximum(low, np.searchsorted(at, right.column("end").to_numpy(), "right"))
+        found = [over_ranges(left.column(n).to_numpy()[order], low, high, np.add if n in sums else np.maximum) for n in [*sums, *peaks]]
+        return pa.table([*[right.column(n) for n in kept], *found], names=arrow.names).cast(arrow)
+
+    return points.groupBy(*keys).cogroup(intervals.groupBy(*keys)).applyInArrow(of_group, schema)
+
+
+def over_ranges(values: np.ndarray, low: np.ndarray, high: np.ndarray, op: np.ufunc) -> np.ndarray:
+    """``op`` (sum or maximum) over values[low:high] of every range, by a tree of pairs: no range costs more steps than the tree has levels."""
+    nothing = 0 if op is np.add else -np.inf if values.dtype.kind == "f" else np.iinfo(values.dtype).min
+    out, low, high = np.full(len(low), nothing, values.dtype), low.copy(), high.copy()
+    while (low < high).any():
+        odd = (low & 1).astype(bool) & (low < high)
+        out[odd] = op(out[odd], values[low[odd]])
+        low[odd] += 1
+        odd = (high & 1).astype(bool) & (low < high)
+        high[odd] -= 1
+        out[odd] = op(out[odd], values[high[odd]])
+        if len(values) % 2:
+            values = np.append(values, np.array(nothing, values.dtype))
+        values, low, high = op(values[::2], values[1::2]), low >> 1, high >> 1
+    return out
+
+
 def islands(df: DataFrame, *, keys: list[str], order: list[str], breaks: Column, name: str = "island") -> DataFrame:
     """``df`` with the number of its run: a new one begins where ``breaks`` holds (null counts as no)."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quireframe.operators import REGISTRIES, textbook
+from quireframe.plans.joins import range_totals
 
 SF = "/root/testdata/sf0.001"
 ALL = {n: q for r in REGISTRIES for n, q in r.queries.items()}
@@ -46,3 +47,22 @@ def test_unmatched_entries_of_odd_books(spark):
     rows = [("a", 1, 1, "目录"), ("a", 1, 2, "第1章 力 ... 2"), ("a", 1, 3, "附录 9"), ("a", 1, 4, "第3节 热 ... 5"), ("a", 2, 1, "第1章 力"), ("b", 1, 1, "第2章 4"), ("b", 2, 1, None), (None, 1, 1, "索引 .. 3")]
     got = textbook.unmatched_contents(spark.createDataFrame(rows, "book string, page int, line int, text string")).collect()
     assert {tuple(r) for r in got} == {("a", "附录"), ("b", "第2章"), (None, "索引")}
+
+
+def test_no_sample_meets_a_call_as_a_row(spark):
+    """Samples come to the calls of a run in groups of arrays; no join makes a row of every sample in a call."""
+    p = plan(ALL["call_sample_windows"](spark, SF))
+    assert "CoGroup" in p and "Generate explode(sequence" not in p
+
+
+def test_totals_of_ranges_equal_brute_force(spark):
+    rng = random.Random(17)
+    points = [(rng.choice([0, 1, 2, None]), rng.randrange(-500, 3000) if rng.random() > 0.05 else None, rng.randrange(9), rng.randrange(-99, 99)) for _ in range(400)]
+    spans = [(i, rng.choice([0, 1, 3, None]), s := rng.randrange(-600, 3100), rng.choice([s - 5, s, s + 7, s + 90, s + 250, s + 2500, None])) for i in range(300)] + [(300, 0, None, 9)]
+    p, s = spark.createDataFrame(points, "k long, at long, v long, m long"), spark.createDataFrame(spans, "i long, k long, start long, end long")
+    got = {r["i"]: (r["v"], r["m"]) for r in range_totals(p, s, key="k", id="i", sums=["v"], peaks=["m"], width=100).collect()}
+    want = {}
+    for i, k, a, z in spans:
+        hit = [x for x in points if None not in (k, a, z, x[1]) and x[0] == k and a <= x[1] <= z]
+        want[i] = (sum(x[2] for x in hit), max((x[3] for x in hit), default=-(1 << 63)))
+    assert got == want
