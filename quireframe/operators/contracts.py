@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectorized import vectorized
+from ..plans.joins import spread
 from ..registry import Registry
 from ..sources import projections as P
 
@@ -156,7 +157,8 @@ def staging_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_problems(rows: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
     """(package, asset, problem): where a manifest, the files and the links of a text disagree, in either direction."""
-    m, f, r = rows.select("package", "asset", F.col("sha").alias("m")), files.select("package", "asset", F.col("sha").alias("f")), refs.select("package", "asset").distinct().withColumn("r", F.lit(True))
+    m, f, r = (spread(x, "package", "asset") for x in (rows.select("package", "asset", F.col("sha").alias("m")), files.select("package", "asset", F.col("sha").alias("f")), refs.select("package", "asset")))
+    r = r.distinct().withColumn("r", F.lit(True))
     j = m.join(f, ["package", "asset"], "full_outer").join(r, ["package", "asset"], "full_outer")
     m, f, r = F.col("m"), F.col("f"), F.col("r")
     found = F.array_compact(
@@ -175,7 +177,8 @@ _ASSETS = """a AS (SELECT DISTINCT l_orderkey AS package, l_partkey AS asset FRO
     SELECT package, asset, 'RESOLVED_ASSET_MISSING' AS problem FROM j WHERE m IS NOT NULL AND f IS NULL UNION ALL SELECT package, asset, 'ASSET_SHA_MISMATCH' FROM j WHERE m <> f UNION ALL SELECT package, asset, 'ASSET_NOT_REFERENCED' FROM j WHERE m IS NOT NULL AND NOT r
     UNION ALL SELECT package, asset, 'LINK_NOT_DECLARED' FROM j WHERE m IS NULL AND r UNION ALL SELECT package, asset, 'FILE_NOT_DECLARED' FROM j WHERE m IS NULL AND f IS NOT NULL""".replace("r.asset IS NOT NULL AS r FROM a", "k.package IS NOT NULL AS r FROM a").replace("LEFT JOIN r USING (package, asset))", "LEFT JOIN r k ON k.package = a.package AND k.asset = a.asset)").replace("SELECT package, asset, m.sha", "SELECT a.package, a.asset, m.sha"))
 def asset_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_partkey").alias("asset")).distinct()
+    a = P.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_partkey").alias("asset"))
+    a = spread(a, "package", "asset").distinct()
     sha = lambda c: F.sha2(c.cast("binary"), 256).alias("sha")
     k = F.col("asset")
     m = a.where(k % 13 != 0).select("package", "asset", sha(k.cast("string")))

@@ -160,7 +160,7 @@ def per_group(df: DataFrame, key: str, order: list[str], of_group: Callable[[lis
 
 
 #: Bytes of the input's files for each task of ``spread``; unpacked they are several times as many.
-TASK_BYTES = 8 << 20
+TASK_BYTES = 4 << 20
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from quireframe.operators import REGISTRIES, textbook
+from quireframe.plans import joins
 from quireframe.plans.joins import range_totals
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +68,13 @@ def test_totals_of_ranges_equal_brute_force(spark):
         hit = [x for x in points if None not in (k, a, z, x[1]) and x[0] == k and a <= x[1] <= z]
         want[i] = (sum(x[2] for x in hit), max((x[3] for x in hit), default=-(1 << 63)))
     assert got == want
+
+
+def tasks(df) -> set[int]:
+    """Numbers of tasks that a plan deals rows over by keys."""
+    return {int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (?:REPARTITION|ENSURE)", plan(df))}
+
+
+def test_assets_meet_in_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
+    assert min(tasks(ALL["asset_integrity"](spark, SF))) > 20
