@@ -87,10 +87,12 @@ def doctor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bound(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """(batch, bound): whether a batch's answers have just the ids of its items, each once."""
-    a = requests.groupBy("batch", "item").agg(F.count("*").alias("asked"))
-    b = responses.groupBy("batch", "item").agg(F.count("*").alias("given"))
-    j = a.join(b, ["batch", "item"], "full_outer")
-    return j.groupBy("batch").agg(F.bool_and((F.coalesce("asked", F.lit(0)) == 1) & (F.coalesce("given", F.lit(0)) == 1)).alias("bound"))
+    side = lambda df, asked: df.select("batch", "item", F.lit(asked).alias("asked"), F.lit(1 - asked).alias("given"))
+    both = spread(side(requests, 1).unionByName(side(responses, 0)), "batch", "item")
+    j = both.groupBy("batch", "item").agg(F.sum("asked").alias("asked"), F.sum("given").alias("given"))
+    # An id that is null answers none.
+    known = F.col("batch").isNotNull() & F.col("item").isNotNull()
+    return j.groupBy("batch").agg(F.bool_and(known & (F.col("asked") == 1) & (F.col("given") == 1)).alias("bound"))
 
 
 @R.add("""WITH a AS (SELECT l_orderkey AS batch, l_partkey AS item, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey AS batch, l_partkey AS item, count(*) AS n FROM lineitem WHERE (l_orderkey + l_linenumber) % 9 <> 0 GROUP BY ALL)

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import REGISTRIES, textbook
+from quireframe.operators import REGISTRIES, contracts, textbook
 from quireframe.plans import joins
 from quireframe.plans.joins import range_totals
 
@@ -78,3 +78,10 @@ def tasks(df) -> set[int]:
 def test_assets_meet_in_tasks_by_size(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
     assert min(tasks(ALL["asset_integrity"](spark, SF))) > 20
+
+
+def test_requests_and_answers_are_counted_without_a_join(spark):
+    df = lambda rows: spark.createDataFrame(rows, "batch long, item long")
+    got = contracts.bound(df([(1, 1), (1, 2), (2, 1), (3, 1), (3, 1), (4, None), (None, 1), (6, 1)]), df([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, None), (None, 1), (5, 1)]))
+    assert {r["batch"]: r["bound"] for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, None: False}
+    assert "Join" not in plan(ALL["response_binding"](spark, SF))
