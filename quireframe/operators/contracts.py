@@ -201,13 +201,16 @@ def finalized(occurrences: DataFrame) -> DataFrame:
     suffix = F.when(~c("there"), "").when(c("kind") == "DRAWINGML_GROUP", ".svg").when(c("suffix") == "", ".bin").otherwise(c("suffix"))
     o = occurrences.select("*", asset.alias("asset"), suffix.alias("ext"))
     mime = F.when(c("ext") != "", F.coalesce(F.create_map(*[F.lit(x) for kv in MIMES.items() for x in kv])[c("ext")], F.lit("application/octet-stream")))
-    uid = F.sha2(F.concat_ws("\x1f", c("doc").cast("string"), c("id").cast("string"), c("kind")).cast("binary"), 256)
-    return o.select("doc", "ord", "id", "kind", "there", "asset", F.when(c("ext") != "", F.concat(F.lit("assets/"), "asset", "ext")).alias("path"), mime.alias("mime"), uid.alias("uid"))
+    return o.select("doc", "ord", "id", "kind", "there", "asset", F.when(c("ext") != "", F.concat(F.lit("assets/"), "asset", "ext")).alias("path"), mime.alias("mime"), _uid().alias("uid"))
+
+
+def _uid() -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.col("doc").cast("string"), F.col("id").cast("string"), F.col("kind")).cast("binary"), 256)
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i + 1).cast("int"))
-    l = P.table(spark, sf_dir, "lineitem")
+    l = spread(P.table(spark, sf_dir, "lineitem"), "l_orderkey")
     return l.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("id"), pick(KINDS, F.col("l_suppkey") % len(KINDS)).alias("kind"), pick([*MIMES, ".emf", ""], F.col("l_partkey") % (len(MIMES) + 2)).alias("suffix"), (F.col("l_quantity") % 9 != 0).alias("there")).distinct()
 
 
@@ -216,7 +219,7 @@ _FINAL = f"""o AS (SELECT DISTINCT * FROM ({_OCC})), n AS (SELECT *, 'image_' ||
 
 @R.add(f"""WITH {_FINAL} SELECT doc, id, kind, max(asset) AS asset, max(CASE WHEN ext <> '' THEN 'assets/' || asset || ext END) AS path, max(CASE ext WHEN '' THEN NULL {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MIMES.items())} ELSE 'application/octet-stream' END) AS mime, sha256(doc || chr(31) || id || chr(31) || kind) AS uid FROM n GROUP BY doc, id, kind""")
 def final_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finalized(_occurrences(spark, sf_dir)).groupBy("doc", "id", "kind").agg(F.max("asset").alias("asset"), F.max("path").alias("path"), F.max("mime").alias("mime"), F.max("uid").alias("uid"))
+    return finalized(_occurrences(spark, sf_dir)).groupBy("doc", "id", "kind").agg(F.max("asset").alias("asset"), F.max("path").alias("path"), F.max("mime").alias("mime")).withColumn("uid", _uid())
 
 
 @R.add(f"""WITH {_FINAL} SELECT doc, count(*) AS total_visible, count(*) FILTER (there) AS resolved, count(*) FILTER (NOT there) AS unresolved, {", ".join(f"count(*) FILTER (kind = '{k}') AS {k.lower()}" for k in KINDS)} FROM n GROUP BY doc""")

@@ -85,3 +85,10 @@ def test_requests_and_answers_are_counted_without_a_join(spark):
     got = contracts.bound(df([(1, 1), (1, 2), (2, 1), (3, 1), (3, 1), (4, None), (None, 1), (6, 1)]), df([(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, None), (None, 1), (5, 1)]))
     assert {r["batch"]: r["bound"] for r in got.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, None: False}
     assert "Join" not in plan(ALL["response_binding"](spark, SF))
+
+
+def test_assets_of_a_document_move_once(spark, monkeypatch):
+    for name in ("final_assets", "asset_counts"):
+        assert plan(ALL[name](spark, SF)).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
+    assert min(tasks(ALL["final_assets"](spark, SF))) > 20
