@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.joins import latest
+from ..plans.joins import latest, spread
 from ..registry import Registry
 from ..sources import projections as P
 
@@ -96,10 +96,11 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""SELECT l_suppkey % 40 AS task, count(DISTINCT j.job) AS jobs, count(DISTINCT CASE WHEN j.state IN ({_ACTIVE}) THEN j.job END) AS active
     FROM lineitem l JOIN ({P.JOBS}) j ON j.job = l.l_orderkey GROUP BY 1""")
 def task_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = P.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("task"), F.col("l_orderkey").alias("job")).distinct()
-    j = P.jobs(spark, sf_dir).select("job", "state")
-    active = F.when(F.col("state").isin(*P.ACTIVE), F.col("job"))
-    return links.join(j, "job").groupBy("task").agg(F.count_distinct("job").alias("jobs"), F.count_distinct(active).alias("active"))
+    links = P.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 40).alias("task"), F.col("l_orderkey").alias("job"))
+    j = P.jobs(spark, sf_dir).select("job", F.coalesce(F.col("state").isin(*P.ACTIVE), F.lit(False)).alias("active"))
+    # A job's links lie in one task, so its pairs are counted once there, and a row per task is moved.
+    pairs = spread(links, "job").join(j, "job").groupBy("job", "task").agg(F.bool_or("active").alias("active"))
+    return pairs.groupBy("task").agg(F.count("*").alias("jobs"), F.count_if("active").alias("active"))
 
 
 @R.add(f"""SELECT j.job FROM ({P.JOBS}) j WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = j.job AND l.l_suppkey % 40 <> 7 AND l.l_returnflag = 'N')

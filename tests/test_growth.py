@@ -92,3 +92,9 @@ def test_assets_of_a_document_move_once(spark, monkeypatch):
         assert plan(ALL[name](spark, SF)).count("Exchange hashpartitioning") == 1
     monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
     assert min(tasks(ALL["final_assets"](spark, SF))) > 20
+
+
+def test_jobs_of_a_task_are_counted_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
+    df = ALL["task_jobs"](spark, SF)
+    assert "Expand" not in plan(df) and max(tasks(df)) > 20
