@@ -6,10 +6,14 @@ import struct
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.vectorized import vectorized
+from ..plans.joins import spread
 from ..registry import Registry
 from ..sources import binary
 from ..sources import packages as K
@@ -80,40 +84,57 @@ def grid(html: str | None) -> tuple:
         value = root.attrib.pop(hint, "0")
         if not (value.isascii() and value.isdigit() and len(value) <= 2):
             return _INVALID
-    parents = {c: p for p in root.iter() for c in p}
-    for e in root.iter():
-        spans = {"rowspan", "colspan"} if e.tag in ("td", "th") else set()
-        above = parents[e].tag if e in parents else None
-        ok = e.tag in ELEMENTS and set(e.attrib) <= spans and all(v.isdigit() and 1 <= int(v) <= 1000 for v in e.attrib.values())
-        if not ok or (e.tag == "table") != (above is None) or (e.tag == "tr" and above not in ROW_PARENTS) or (e.tag in ("td", "th") and above != "tr"):
-            return _INVALID
+    if not _allowed(root):
+        return _INVALID
     rows = list(root.iter("tr"))
-    if not rows or not "".join(root.itertext()).strip():
+    if not rows or not any(t.strip() for t in root.itertext()):
         return _INVALID
     cells, free = [], []
     for y, row in enumerate(rows):
-        if not len(row) or any(c.tag not in ("td", "th") for c in row):
-            return _INVALID
         x = 0
         for c in row:
-            height, width = int(c.get("rowspan", 1)), int(c.get("colspan", 1))
+            if c.tag not in ("td", "th"):
+                return _INVALID
+            spans = c.attrib
+            height, width = (int(spans.get("rowspan", 1)), int(spans.get("colspan", 1))) if spans else (1, 1)
             while x < len(free) and free[x] > y:
                 x += 1
-            if y + height > len(rows) or x + width > 1000 or any(f > y for f in free[x : x + width]):
+            if y + height > len(rows) or x + width > 1000 or (width > 1 and any(f > y for f in free[x : x + width])):
                 return _INVALID
-            free.extend([0] * (x + width - len(free)))
+            if x + width > len(free):
+                free.extend([0] * (x + width - len(free)))
             free[x : x + width] = [y + height] * width
-            cells.append((y, x, height, width, c.tag == "th", "".join(c.itertext()).strip()))
+            cells.append((y, x, height, width, c.tag == "th", ("".join(c.itertext()) if len(c) else c.text or "").strip()))
             x += width
-        if any(f <= y for f in free) or (y and len(free) != columns):
+        if not len(row) or min(free) <= y or (y and len(free) != columns):
             return _INVALID
         columns = len(free)
     return cells, len(rows), columns, None
 
 
-@vectorized(GRID)
-def table_grid(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([grid(h) for h in html], columns=["cells", "n_rows", "n_cols", "error"]).astype({"n_rows": "Int32", "n_cols": "Int32"})
+def _allowed(root: ET.Element) -> bool:
+    """Every element is one that a table may have, in its place, with no attributes but a cell's spans of 1 to 1000."""
+    if root.tag != "table" or root.attrib:
+        return False
+    for p in root.iter():
+        for e in p:
+            if e.tag in ("td", "th"):
+                if p.tag != "tr" or (e.attrib and not all(k in ("rowspan", "colspan") and v.isdecimal() and 1 <= int(v) <= 1000 for k, v in e.attrib.items())):
+                    return False
+            elif e.attrib or e.tag == "table" or e.tag not in ELEMENTS or (e.tag == "tr" and p.tag not in ROW_PARENTS):
+                return False
+    return True
+
+
+def table_grid(html: Column) -> Column:
+    """The grid of a text's one table, as GRID, a batch at a time."""
+
+    def grids(texts: pa.Array) -> pa.Array:
+        columns = zip(*[grid(h) for h in texts.to_pylist()], strict=True) if len(texts) else [()] * len(fields)
+        return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+
+    fields = list(to_arrow_type(_parse_datatype_string(GRID)))
+    return F.arrow_udf(grids, GRID)(html)
 
 
 @R.add("""SELECT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 2 * count(*) + 1 END AS n_cells, CASE WHEN l_orderkey % 5 <> 0 THEN CAST(sum(l_partkey) AS BIGINT) END AS total,
@@ -121,7 +142,8 @@ def table_grid(html: pd.Series) -> pd.DataFrame:
 def html_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table per order; every fifth lacks a cell."""
     row = F.concat(F.lit("<tr><td>"), "l_partkey", F.lit("</td><td>"), F.col("l_quantity").cast("long"), F.lit("</td></tr>"))
-    t = P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(row)), "").alias("body"))
+    lines = spread(P.table(spark, sf_dir, "lineitem"), "l_orderkey")
+    t = lines.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("body"))
     head = F.concat(F.lit("<tr><th colspan='2'>lines</th></tr>"), F.when(F.col("page") % 5 == 0, "<tr><td>x</td></tr>").otherwise(""))
     g = t.select("page", table_grid(F.concat(F.lit("<table border='1'>"), head, "body", F.lit("</table>"))).alias("g"))
     keys = F.transform(F.filter("g.cells", lambda c: (c["col"] == 0) & ~c["header"]), lambda c: c["text"].cast("long"))

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import REGISTRIES, contracts, textbook
+from quireframe.operators import REGISTRIES, contracts, packages, textbook
 from quireframe.plans import joins
 from quireframe.plans.joins import range_totals
 
@@ -98,3 +98,15 @@ def test_jobs_of_a_task_are_counted_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
     df = ALL["task_jobs"](spark, SF)
     assert "Expand" not in plan(df) and max(tasks(df)) > 20
+
+
+def test_tables_come_in_tasks_by_size_and_odd_digits_are_no_spans(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_BYTES", 1 << 12)
+    assert min(tasks(ALL["html_grids"](spark, SF))) > 20
+    html = ["<table><tr><td colspan='²'>a</td></tr></table>", None, "<table><tr><td rowspan='2'>a</td><td>b</td></tr><tr><td>c<br/>d</td></tr></table>"]
+    df = spark.createDataFrame(list(enumerate(html)), "i int, h string").select("i", packages.table_grid(F.col("h")).alias("g"))
+    got = {r["i"]: ([tuple(c) for c in r["g"]["cells"]], *r["g"][1:]) for r in df.collect()}
+    assert got == {
+        0: ([], None, None, "TABLE_STRUCTURE_INVALID"), 1: ([], None, None, "EMPTY_TABLE_OUTPUT"),
+        2: ([(0, 0, 2, 1, False, "a"), (0, 1, 1, 1, False, "b"), (1, 1, 1, 1, False, "cd")], 2, 2, None),
+    }
