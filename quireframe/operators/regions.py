@@ -173,9 +173,13 @@ def figure_edges_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures that may grow down by a sixth of their height, 3 rows at least and 40 at most: no other box is in the strip."""
     r = P.regions(spark, sf_dir)
     figures = r.where("label in ('chart', 'image')")
-    strip = (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")) & (F.least(F.col("a_y1") + F.greatest(F.lit(3), F.least(F.lit(40), F.expr("(a_y1 - a_y0) div 6"))), F.col("b_y1")) > F.greatest("a_y1", "b_y0"))
-    blocked = touching(figures, r, 40).where(strip).select(F.col("a_region").alias("region")).distinct()
-    return figures.join(blocked, "region", "left_anti").select("region")
+    # The strips alone meet the boxes, so that neither is dealt into cells that it does not touch.
+    foot = F.col("y1") + F.greatest(F.lit(3), F.least(F.lit(40), F.expr("(y1 - y0) div 6")))
+    strips = figures.select("page", "region", "x0", F.col("y1").alias("y0"), "x1", foot.alias("y1"))
+    open_ = lambda axis: F.least(f"a_{axis}1", f"b_{axis}1") > F.greatest(f"a_{axis}0", f"b_{axis}0")
+    boxes = r.select("page", "region", "x0", "y0", "x1", "y1")
+    blocked = touching(strips, boxes).where(open_("x") & open_("y")).select(F.col("a_region").alias("region")).distinct()
+    return figures.select("region").join(blocked, "region", "left_anti")
 
 
 @R.add(f"""WITH {_REG}, b AS (SELECT *, CASE WHEN y0 - max(y1) OVER (PARTITION BY page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3 THEN 1 ELSE 0 END AS cut FROM r),

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quireframe.operators import REGISTRIES, contracts, packages, textbook
+from quireframe.operators import REGISTRIES, contracts, packages, regions, textbook
 from quireframe.plans import joins
 from quireframe.plans.joins import range_totals
 
@@ -110,3 +110,13 @@ def test_tables_come_in_tasks_by_size_and_odd_digits_are_no_spans(spark, monkeyp
         0: ([], None, None, "TABLE_STRUCTURE_INVALID"), 1: ([], None, None, "EMPTY_TABLE_OUTPUT"),
         2: ([(0, 0, 2, 1, False, "a"), (0, 1, 1, 1, False, "b"), (1, 1, 1, 1, False, "cd")], 2, 2, None),
     }
+
+
+def test_few_cells_of_figures_meet(spark, monkeypatch):
+    """Strips meet boxes as they are: fewer rows than boxes grown on all sides would make."""
+    seen = []
+    kept = regions.touching
+    monkeypatch.setattr(regions, "touching", lambda a, b, slack=0: seen.append((a, slack)) or kept(a, b, slack))
+    ALL["figure_edges_free"](spark, SF)
+    (strips, slack), = seen
+    assert slack == 0 and strips.where("y1 - y0 not between 3 and 40").count() == 0
