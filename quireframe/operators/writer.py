@@ -18,24 +18,27 @@ UNREAD = ("image", "chart", "seal")
 
 
 def captions(regions: DataFrame) -> DataFrame:
-    """(caption, figure): captions with text whose centre is in just one figure's width, near its foot."""
+    """(caption, figure, c_ord, c_value): captions with text whose centre is in just one figure's width, near its foot."""
     centre = F.col("a_x0") + F.col("a_x1")
     near = F.abs(F.col("a_y0") - F.col("b_y1")) <= 2 * (F.col("a_y1") - F.col("a_y0"))
     hit = pairs(regions.where("label = 'figure_title' AND value <> ''"), regions.where("label in ('chart', 'image')")).where((2 * F.col("b_x0") <= centre) & (centre <= 2 * F.col("b_x1")) & near)
-    return hit.groupBy(F.col("a_region").alias("caption")).agg(F.count("*").alias("n"), F.min("b_region").alias("figure")).where("n = 1").drop("n")
+    return hit.groupBy(F.col("a_region").alias("caption")).agg(F.count("*").alias("n"), F.min("b_region").alias("figure"), F.min("a_ord").alias("c_ord"), F.min("a_value").alias("c_value")).where("n = 1").drop("n")
 
 
-def blocks(regions: DataFrame) -> DataFrame:
+def blocks(regions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc, number, ord, region, label, asset, content) of (doc, page, number, region, ord, label, value and a box).
 
     A region without text is kept as a picture, numbered through its document, under its captions; a caption that
-    belongs to a figure is no block of its own.
+    belongs to a figure is no block of its own. With ``pages`` (doc, number) the anchors of all pages are blocks too, so
+    that a document's blocks need not be moved again to be joined with them.
     """
     c = F.col
     owned = captions(regions)
-    told = owned.join(regions.select(c("region").alias("caption"), c("ord").alias("c_ord"), "value"), "caption")
-    told = told.groupBy(c("figure").alias("region")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_ord", "value"))), lambda x: x["value"]), " ").alias("caption"))
-    r = regions.join(owned.select(c("caption").alias("region")), "region", "left_anti").join(told, "region", "left")
+    told = owned.groupBy(c("figure").alias("region")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_ord", "c_value"))), lambda x: x["c_value"]), " ").alias("caption"))
+    r = regions.select("doc", "number", "ord", "region", "label", "value").join(owned.select(c("caption").alias("region")), "region", "left_anti").join(told, "region", "left")
+    if pages is not None:
+        anchor = F.concat(F.lit("\n<!-- page:"), F.col("number").cast("string"), F.lit(" -->\n"))
+        r = r.unionByName(pages.select("doc", "number", F.lit(0).cast(r.schema["ord"].dataType).alias("ord"), anchor.alias("anchor")), allowMissingColumns=True)
     kept = F.when(c("value") == "", 1).otherwise(0)
     before = F.sum(kept).over(W.partitionBy("doc").orderBy("number", "ord").rowsBetween(W.unboundedPreceding, 0))
     r = r.withColumn("asset", F.when(c("value") == "", F.concat(F.lit("image_"), F.lpad(before.cast("string"), 6, "0"))))
@@ -48,15 +51,16 @@ def blocks(regions: DataFrame) -> DataFrame:
         .when(c("label") == "paragraph_title", F.concat(F.lit("## "), "value"))
         .otherwise(c("value"))
     )
+    if pages is not None:
+        content = F.coalesce("anchor", content)
     return r.select("doc", "number", "ord", "region", "label", "asset", content.alias("content"))
 
 
-def markdown(parts: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc, markdown): every page's anchor and blocks in order, with blank lines between; pages without blocks have their anchor."""
-    anchors = pages.select("doc", "number", F.lit(0).alias("ord"), F.concat(F.lit("\n<!-- page:"), F.col("number").cast("string"), F.lit(" -->\n")).alias("content"))
-    every = parts.select("doc", "number", F.col("ord").cast("int"), "content").unionByName(anchors.select("doc", "number", F.col("ord").cast("int"), "content"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "ord", "content"))), lambda x: x["content"]), "\n\n")
-    return every.groupBy("doc").agg(F.concat(F.btrim(joined, F.lit("\n ")), F.lit("\n")).alias("markdown"))
+def markdown(parts: DataFrame) -> DataFrame:
+    """(doc, markdown) of blocks with anchors: every page's anchor and blocks in order, with blank lines between; pages without blocks have their anchor."""
+    listed = F.sort_array(F.collect_list(F.struct("number", F.col("ord").cast("int").alias("ord"), "content")))
+    joined = F.array_join(F.transform(listed, lambda x: x["content"]), "\n\n")
+    return parts.groupBy("doc").agg(F.concat(F.btrim(joined, F.lit("\n ")), F.lit("\n")).alias("markdown"))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +89,7 @@ _BLOCKS = f"""p AS (SELECT o_orderkey AS page, o_custkey AS doc, row_number() OV
 @R.add(f"""WITH {_BLOCKS}, e AS (SELECT doc, number, ord, content FROM b UNION ALL SELECT doc, number, 0, chr(10) || '<!-- page:' || number || ' -->' || chr(10) FROM p)
     SELECT doc, trim(string_agg(content, chr(10) || chr(10) ORDER BY number, ord), chr(10) || ' ') || chr(10) AS markdown FROM e GROUP BY doc""")
 def visual_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown(blocks(_regions(spark, sf_dir)), _pages(spark, sf_dir))
+    return markdown(blocks(_regions(spark, sf_dir), _pages(spark, sf_dir)))
 
 
 @R.add(f"""WITH {_BLOCKS} SELECT doc, asset, 'visual:' || doc || ':' || region AS uid, label AS semantic_type, 'page:' || number AS source_part, 'assets/' || asset || '.png' AS path FROM b WHERE asset IS NOT NULL""")

@@ -120,3 +120,8 @@ def test_few_cells_of_figures_meet(spark, monkeypatch):
     ALL["figure_edges_free"](spark, SF)
     (strips, slack), = seen
     assert slack == 0 and strips.where("y1 - y0 not between 3 and 40").count() == 0
+
+
+def test_blocks_of_a_document_move_once_to_be_joined(spark):
+    p = plan(ALL["visual_documents"](spark, SF))
+    assert 0 < p.index("Window [") < p.index("Exchange hashpartitioning")
