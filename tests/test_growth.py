@@ -65,6 +65,25 @@ def test_lines_are_looked_at_once_a_text_and_sorted_twice(spark, monkeypatch):
     assert sum(len(f.at) for f in found) == 500 and len(seen) <= 2 * len(found) <= 8
 
 
+def test_parts_do_not_hang_on_batches(spark):
+    """Books and pages that several batches share, pages out of order and null books give what whole books in one batch give."""
+    rng = random.Random(5)
+    lines = ["# 第1章", "第1章", "第1章 力 ..... 2", "第2章 热 ..... 3", "# 第2章", "# 附录", "附录 …… 9", "目录", "x", "", None, "![](a.png)", "# 第3节 光", "短"]
+    rows = []
+    for b in range(80):
+        pages = [rng.choice([1, 2, 3, n]) for n in range(1, rng.randrange(3, 9))]
+        rows += [(f"b{b}" if b else None, 100 * i + n, f"<!-- page:{p} -->" if n == 0 else rng.choice(lines)) for i, p in enumerate(pages) for n in range(rng.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "book string, at int, text string")
+    made = (textbook.outline, textbook.unmatched_contents, textbook.sections)
+    want = [sorted(map(str, f(textbook.paged(df)).collect())) for f in made]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = [[sorted(map(str, f(read(df)).collect())) for f in made] for read in (textbook.paged, textbook.in_pages)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [want, want] and min(map(len, want)) > 20
+
+
 def test_no_sample_meets_a_call_as_a_row(spark):
     """Samples come to the calls of a run in groups of arrays; no join makes a row of every sample in a call."""
     p = plan(ALL["call_sample_windows"](spark, SF))
